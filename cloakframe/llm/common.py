@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 1000
 #: Fewer rows than this are never worth a separate way.
 HOT_LEAST = 500
+#: A broadcast bitmap has 2 ** MAX_BITS bits at most (16 MB); more values share bits then.
+MAX_BITS = 27
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +96,33 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     return rows.join(hot, key, "inner").unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left"))
 
 
+@dataclass
+class Bitmap:
+    """A bitmap of bounded size, as rows of 4 kB: tells hashes that are certainly absent from those that may be there."""
+
+    rows: DataFrame  # bucket, bits
+    log_bits: int
+    place: Callable[[Column], Column]
+
+    def flag(self, df: DataFrame, h: Column, to: str) -> DataFrame:
+        """df with a boolean column `to`: the hash may be in the bitmap. A map-side join with the broadcast bitmap."""
+        bucket, bits = fresh(df, "bucket", "bits")
+        pos = F.pmod(self.place(h), F.lit(1 << self.log_bits))
+        one = F.conv(F.hex(F.substring(F.col(bits), (F.pmod(pos, F.lit(32768)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (F.pmod(pos, F.lit(8)) + 1).cast("int"))
+        side = F.broadcast(self.rows.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits)))
+        joined = df.join(side, F.shiftright(pos, 15) == F.col(bucket), "left")
+        return joined.withColumn(to, F.coalesce(one.bitwiseAND(mask) > 0, F.lit(False))).drop(bucket, bits)
+
+
+def bitmap(df: DataFrame, at: Column, log_bits: int, place: Callable[[Column], Column] = lambda h: h) -> Bitmap:
+    """Sets the bit `at` of every row of df, folded into 2 ** log_bits bits (at most MAX_BITS); place(hash) is tested later."""
+    log_bits = min(MAX_BITS, max(15, log_bits))
+    pos = df.select(F.pmod(at, F.lit(1 << log_bits)).alias("pos"))
+    rows = pos.groupBy(F.shiftright("pos", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("pos", F.lit(32768))).alias("bits"))
+    return Bitmap(materialize(rows, "bitmap"), log_bits, place)
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of undirected `edges` (a, b: any comparable type): node, root = smallest node reachable.
 

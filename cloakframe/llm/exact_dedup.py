@@ -9,17 +9,13 @@ costs a shuffled row, never a wrong result.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, fresh, load, materialize
+from .common import Bitmap, attach, bitmap, fresh, load, materialize
 
 #: White space that counts as equal: blank, tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
-#: The broadcast bitmap has 2 ** MAX_BITS bits at most (16 MB); more flagged blocks share bits then.
-MAX_BITS = 27
 
 
 def normalised(text: Column) -> Column:
@@ -27,38 +23,14 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACES, " ")
 
 
-@dataclass
-class RepeatFilter:
-    """Tells rows whose hash certainly occurs once from those whose hash may be repeated."""
-
-    bitmap: DataFrame  # bucket, bits: 4 kB of the bitmap
-    log_blocks: int
-    log_bits: int
-
-    def block(self, h: Column) -> Column:
-        return F.shiftrightunsigned(h, 64 - self.log_blocks)
-
-    def flag(self, df: DataFrame, h: Column, to: str) -> DataFrame:
-        """df with a boolean column `to`: the hash may be repeated."""
-        (bucket, bits) = fresh(df, "bucket", "bits")
-        pos = F.pmod(self.block(h), F.lit(1 << self.log_bits))
-        one = F.conv(F.hex(F.substring(F.col(bits), (F.pmod(pos, F.lit(32768)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (F.pmod(pos, F.lit(8)) + 1).cast("int"))
-        side = F.broadcast(self.bitmap.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits)))
-        joined = df.join(side, F.shiftright(pos, 15) == F.col(bucket), "left")
-        return joined.withColumn(to, F.coalesce(one.bitwiseAND(mask) > 0, F.lit(False))).drop(bucket, bits)
-
-
-def repeat_filter(hashes: DataFrame, h: str, rows: int) -> RepeatFilter:
-    """Builds the filter over all rows of `hashes`, whose column h is a 64-bit hash; rows: how many there are."""
+def repeat_filter(hashes: DataFrame, h: str, rows: int) -> Bitmap:
+    """The bitmap of hashes that may be repeated; h: a 64-bit hash in every row of `hashes`, of which there are `rows`."""
     log_blocks = min(48, max(10, (max(rows, 1) - 1).bit_length()))
-    out = RepeatFilter(None, log_blocks, min(MAX_BITS, max(15, log_blocks)))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(h).bitwiseAND(F.lit(63)).cast("int"))
-    blocks = hashes.select(out.block(F.col(h)).alias("block"), bit.alias("bit")).groupBy("block").agg(F.bit_or("bit").alias("seen"), F.count(F.lit(1)).alias("n"))
-    flagged = blocks.filter(F.col("n") > F.bit_count("seen")).select(F.pmod("block", F.lit(1 << out.log_bits)).alias("pos"))
-    folded = flagged.groupBy(F.shiftright("pos", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("pos", F.lit(32768))).alias("bits"))
-    out.bitmap = materialize(folded, "repeats")
-    return out
+    block = F.shiftrightunsigned(F.col(h), 64 - log_blocks)
+    blocks = hashes.select(block.alias("block"), bit.alias("bit")).groupBy("block").agg(F.bit_or("bit").alias("seen"), F.count(F.lit(1)).alias("n"))
+    flagged = blocks.filter(F.col("n") > F.bit_count("seen")).select("block")
+    return bitmap(flagged, F.col("block"), log_blocks, lambda c: F.shiftrightunsigned(c, 64 - log_blocks))
 
 
 def _decide(rows: DataFrame, sha: str, doc_id: str, uid: str, total: int) -> DataFrame:

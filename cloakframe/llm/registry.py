@@ -1,12 +1,15 @@
 """The queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from . import exact_dedup, near_dedup
+from . import chat, exact_dedup, near_dedup, pii
 
 QUERIES = {
     "op4_simhash_near_dedup": near_dedup.query,
+    "op7_pii_sanitisation": pii.query,
+    "op8_chat_perspectives": chat.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
 ORACLES = {
+    "op8_chat_perspectives": chat.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
