@@ -1,9 +1,12 @@
 """The queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from . import chat, exact_dedup, near_dedup, pii
+from . import bpe, chat, exact_dedup, language, near_dedup, pii, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
+    "op3_language_id": language.query,
     "op4_simhash_near_dedup": near_dedup.query,
+    "op6_bpe_encode_decode": bpe.query,
     "op7_pii_sanitisation": pii.query,
     "op8_chat_perspectives": chat.query,
     "op10_exact_dedup": exact_dedup.query,
