@@ -45,7 +45,7 @@ def classifier(name: str, seed: int | None = None):
         case "LOG":
             return LogisticRegression(maxIter=1000)
         case "SVM":
-            return OneVsRest(classifier=LinearSVC())
+            return OneVsRest(classifier=LinearSVC(maxIter=20), parallelism=4)
         case "DT":
             return DecisionTreeClassifier(maxDepth=15, **more)
         case "KNN":

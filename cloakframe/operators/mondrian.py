@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ from ..spec import AnonSpec, q
 from .generalize import Result
 from .recode import GROUP, RECODERS
 
+#: Groups of up to so many distinct combinations are finished in one task each.
+LOCAL = 20_000
+
 
 @dataclass(frozen=True)
 class Mondrian:
@@ -54,21 +60,25 @@ class Mondrian:
         state = materialize(rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).withColumn("path", F.lit("")), "combinations")
         ended = []
         while True:
+            wide = materialize(state.groupBy("path").agg(F.count(F.lit(1)).alias("combos")).filter(F.col("combos") > LOCAL), "wide")
+            more = wide.limit(1).count() > 0
+            rest = state.join(wide, "path", "left_anti") if more else state
+            ended.append(rest.groupBy("path").applyInPandas(self._finish(spans), ", ".join([*(f"{c} double" for c in cols), "path string"])))
+            if not more:
+                break
+            state = state.join(wide.drop("combos"), "path")
             stats = []
             for i in n:
                 distinct = F.countDistinct(f"c{i}")
-                wide = distinct if self.spec.categorical[self.spec.qids[i]] else F.max(f"c{i}") - F.min(f"c{i}")
-                stats += [distinct.alias(f"d{i}"), F.percentile(f"c{i}", F.lit(0.5), F.col("n")).alias(f"m{i}"), (wide / spans[i] if spans[i] else F.lit(0.0)).alias(f"w{i}")]
-            per = materialize(state.groupBy("path").agg(F.sum("n").alias("rows"), *stats), "stats").filter(F.col("rows") >= 2 * self.k)
+                reach = distinct if self.spec.categorical[self.spec.qids[i]] else F.max(f"c{i}") - F.min(f"c{i}")
+                stats += [distinct.alias(f"d{i}"), F.percentile(f"c{i}", F.lit(0.5), F.col("n")).alias(f"m{i}"), (reach / spans[i] if spans[i] else F.lit(0.0)).alias(f"w{i}")]
+            per = materialize(state.groupBy("path").agg(F.sum("n").alias("rows"), *stats), "stats")
             sides = state.join(per, "path").groupBy("path").agg(*[F.sum(F.when(F.col(f"c{i}") <= F.col(f"m{i}"), F.col("n")).otherwise(0)).alias(f"low{i}") for i in n])
-            fits = lambda i: (F.col(f"low{i}") >= self.k) & (F.col("rows") - F.col(f"low{i}") >= self.k)
+            fits = lambda i: (F.col("rows") >= 2 * self.k) & (F.col(f"low{i}") >= self.k) & (F.col("rows") - F.col(f"low{i}") >= self.k)
             order = F.array_sort(F.array(*[F.struct((-F.col(f"w{i}")).alias("w"), (-F.col(f"d{i}")).alias("d"), F.lit(i).alias("i"), F.col(f"m{i}").alias("m"), fits(i).alias("ok")) for i in n]))
             cut = F.get(F.filter(order, lambda s: s["ok"]), 0)
             chosen = materialize(per.join(sides, "path").select("path", cut.alias("cut")).filter("cut is not null"), "cuts")
-            if not chosen.limit(1).count():
-                ended.append(state)
-                break
-            ended.append(materialize(state.join(chosen, "path", "left_anti"), "ended"))
+            ended.append(state.join(chosen, "path", "left_anti"))
             value = reduce(lambda a, i: F.when(F.col("cut.i") == i, F.col(f"c{i}")).otherwise(a), n, F.lit(None).cast("double"))
             state = materialize(state.join(chosen, "path").withColumn("path", F.concat("path", F.when(value > F.col("cut.m"), "1").otherwise("0"))).drop("cut"), "frontier")
         combos = materialize(reduce(DataFrame.unionByName, [e.select(*cols, "path") for e in ended]), "paths")
@@ -77,6 +87,41 @@ class Mondrian:
         df = self.spec.df
         return df.join(keyed, df[q(self.spec.order_key)] == keyed["key"]).drop("key")
 
+    def _finish(self, spans: list[float]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        """Splits one group of at most LOCAL combinations to the end, by the same rule, in memory."""
+        k, n, cats = self.k, len(spans), [self.spec.categorical[c] for c in self.spec.qids]
+
+        def median(x: np.ndarray, w: np.ndarray) -> float:
+            order = np.argsort(x, kind="stable")
+            upto, total = np.cumsum(w[order]), int(w.sum())
+            low, high = (x[order[np.searchsorted(upto, at, side="right")]] for at in ((total - 1) // 2, total // 2))
+            return (low + high) / 2
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            c, w, base = pdf[[f"c{i}" for i in range(n)]].to_numpy(float), pdf["n"].to_numpy(), pdf["path"].iat[0]
+            paths, todo = np.empty(len(c), object), [(np.arange(len(c)), base)]
+            while todo:
+                at, path = todo.pop()
+                rows, ranked, cut = int(w[at].sum()), [], None
+                if rows >= 2 * k:
+                    for i in range(n):
+                        x = c[at, i]
+                        d = len(np.unique(x))
+                        ranked.append((-((d if cats[i] else x.max() - x.min()) / spans[i]) if spans[i] else 0.0, -d, i))
+                    for _, _, i in sorted(ranked):
+                        m = median(c[at, i], w[at])
+                        low = c[at, i] <= m
+                        if k <= w[at[low]].sum() <= rows - k:
+                            cut = low
+                            break
+                if cut is None:
+                    paths[at] = path
+                else:
+                    todo += [(at[cut], path + "0"), (at[~cut], path + "1")]
+            return pdf[[f"c{i}" for i in range(n)]].assign(path=paths)
+
+        return run
+
     def transform(self) -> Result:
         groups = materialize(self.groups(), "groups")
         return Result(RECODERS[self.recoder](groups, self.spec).drop(GROUP), groups=groups)
