@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load
+from .common import load, materialize
 from .language import bucket
 
 #: Labelled documents that the machine is fitted on, at most (about); hashed terms; terms that it keeps; factors.
@@ -57,30 +57,18 @@ class Machine:
         return out
 
 
-def train(rows: list[np.ndarray], y: np.ndarray) -> Machine:
-    """Fits the machine; rows: the hashed terms of each document, each once."""
+def train(cells: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> Machine:
+    """Fits the machine over the sorted hashed terms `cells`; rows: those that each document has."""
     n, pos = len(rows), float(y.sum())
-    flat = np.concatenate(rows) if n else np.zeros(0, np.int64)
-    cells, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows]) if n else flat
-    hits = np.bincount(inverse, weights=y[owner], minlength=len(cells)) if n else np.zeros(0)
     prior = (pos + 0.5) / (n + 1.0)
-    p = (hits + prior) / (df + 1.0)
-    gain = df * (p * np.log(p / prior) + (1 - p) * np.log((1 - p) / (1 - prior)))
-    gain[df < SUPPORT] = 0
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    chosen = chosen[gain[chosen] > 0]
     rng = np.random.default_rng(SEED)
-    m = Machine(cells[chosen], float(np.log(prior / (1 - prior))), np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), FACTORS)))
-    if not len(chosen) or not 0 < pos < n:
+    m = Machine(cells, float(np.log(prior / (1 - prior))), np.zeros(len(cells)), rng.normal(0, 0.05, (len(cells), FACTORS)))
+    if not len(cells) or not 0 < pos < n:
         return m
-    place = np.full(len(cells), -1)
-    place[chosen] = np.arange(len(chosen))
-    ids = place[inverse]
-    keep = ids >= 0
-    ids, count = ids[keep], np.bincount(owner[keep], minlength=n)
+    count = np.array([len(r) for r in rows])
+    ids = np.searchsorted(cells, np.concatenate(rows))
     starts = np.concatenate(([0], np.cumsum(count)[:-1]))
-    gw, gv, gb = np.full(len(chosen), 1e-8), np.full(m.v.shape, 1e-8), 1e-8
+    gw, gv, gb = np.full(len(cells), 1e-8), np.full(m.v.shape, 1e-8), 1e-8
     for _ in range(EPOCHS):
         order = rng.permutation(n)
         for i in range(0, n, BATCH):
@@ -97,7 +85,7 @@ def train(rows: list[np.ndarray], y: np.ndarray) -> Machine:
             v, each = m.v[f], np.repeat(g, c)
             s = np.zeros((len(d), FACTORS))
             s[c > 0] = np.add.reduceat(v, at[c > 0], axis=0)
-            dw = np.bincount(f, weights=each, minlength=len(chosen)) + DECAY * m.w
+            dw = np.bincount(f, weights=each, minlength=len(cells)) + DECAY * m.w
             dv = DECAY * m.v
             np.add.at(dv, f, each[:, None] * (np.repeat(s, c, axis=0) - v))
             gw += dw**2
@@ -119,14 +107,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             got = [sorted({c for w in set(WORD.findall((t or "").lower())) for c in cells_of(w)}) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], names=["y", "terms"])
 
-    got = rows.mapInArrow(terms, "y int, terms array<int>").toArrow().combine_chunks()
-    lists = got["terms"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    flat, ends = lists.values.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy()
-    parts = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    y = got["y"].to_numpy().astype(float)
-    order = sorted(range(len(parts)), key=lambda i: (parts[i].tobytes(), y[i]))  # the same machine however rows are dealt
-    return train([parts[i] for i in order], y[order])
+    listed = materialize(rows.mapInArrow(terms, "y int, terms array<int>"), "terms")
+    n, pos = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    prior = (pos + 0.5) / (n + 1.0)
+    each = listed.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("hits")).filter(F.col("df") >= SUPPORT)
+    p = (F.col("hits") + prior) / (F.col("df") + 1.0)
+    gain = F.col("df") * (p * F.log(p / prior) + (1 - p) * F.log((1 - p) / (1 - prior)))
+    chosen = [r["term"] for r in each.select("term", gain.alias("gain")).filter("gain > 0").orderBy(F.desc("gain"), "term").limit(FEATURES).collect()]
+    held = F.array(*[F.lit(c) for c in sorted(chosen)]).cast("array<int>")
+    docs_of = [(tuple(sorted(r["t"])), r["y"]) for r in listed.select("y", F.array_intersect("terms", held).alias("t")).collect()]
+    docs_of.sort()  # the same machine however rows are dealt
+    return train(np.array(sorted(chosen), np.int64), [np.array(t, np.int64) for t, _ in docs_of], np.array([y for _, y in docs_of], float))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", to: str = "score") -> DataFrame:
