@@ -34,6 +34,8 @@ END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of records in an archive, and bytes fetched by one range read, about.
 ARCHIVE, RANGE = 32 << 20, 4 << 20
+#: Partitions of archives or ranges, at most.
+MOST = 100_000
 #: Payloads of fewer bytes are never revisits.
 LEAST = 0
 DATE = "1970-01-01T00:00:00Z"
@@ -98,8 +100,8 @@ def directory(f) -> dict[str, tuple[int, int, int]]:
     f.seek(tail_at)
     tail = f.read(size - tail_at)
     at = tail.rfind(END)
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):  # the signature may stand in the comment
-        at = tail.rfind(END, 0, at)
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
+        at = tail.rfind(END, 0, at + 3)  # the signature may stand in the comment
     if at < 0:
         raise ValueError("no end of central directory")
     count, length, start = struct.unpack_from("<HII", tail, at + 10)
@@ -163,7 +165,7 @@ def _decided(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
 
 
 def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Writes one record for every page; returns the table of archives: path, records."""
+    """Writes one record for every page; returns the table of archives: path, records, bytes, root."""
     spark = pages.sparkSession
     root = scratch(spark, "warc")
     system, at = fs.FileSystem.from_uri(root)
@@ -176,9 +178,10 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
 
         def put() -> pa.RecordBatch:
             name = f"{at}/part-{task.partitionId():06d}-{number:06d}-{task.taskAttemptId()}.zip"
+            data = archive(held)
             with system.open_output_stream(name) as out:
-                out.write(archive(held))
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64())], names=["path", "records"])
+                out.write(data)
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())], names=["path", "records", "bytes"])
 
         for b in batches:
             for i, u, h, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -190,7 +193,7 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
         if held:
             yield put()
 
-    table = materialize(_decided(pages, page_id, url, html).mapInArrow(run, "path string, records long"), "archives")
+    table = materialize(_decided(pages, page_id, url, html).mapInArrow(run, "path string, records long, bytes long"), "archives")
     return table.withColumn("root", F.lit(root))
 
 
@@ -236,9 +239,10 @@ def read(archives: DataFrame) -> DataFrame:
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns[:5], columns[5].cast(pa.string())], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    spark = archives.sparkSession
-    runs = archives.select("path", "root").repartition(F.xxhash64("path")).mapInArrow(places, "root string, path string, start long, lengths array<long>")
-    dealt = runs.repartition(F.xxhash64("path", "start")) if spark.conf.get("spark.sql.adaptive.enabled") else runs
+    # A row stands for megabytes: numbers of partitions are given, so that adaptive execution does not merge them.
+    n, size = archives.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    runs = archives.select("path", "root").repartition(min(max(n, 1), MOST), "path").mapInArrow(places, "root string, path string, start long, lengths array<long>")
+    dealt = runs.repartition(min(max(1, size // RANGE), MOST), "path", "start")
     return dealt.mapInArrow(fetch, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
 
 
