@@ -201,6 +201,8 @@ class Vocabulary:
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of words, none of them empty, as little-endian 32-bit integers."""
+        if not words:
+            return []
         text, size = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
         ids, end = self.first[text], np.cumsum(size) - 1
         ids[end] = self.last[text[end]]
