@@ -209,6 +209,7 @@ class Clusterer:
     recoder: str = "summarization"
     seed: int | None = None
     block_rows: int | None = None
+    removal: str = "closest"  # OKA: which members an over-full cluster gives up, "closest" or "furthest"
 
     def _encoded(self) -> tuple[DataFrame, list[float], list[int]]:
         """key, block, and a column for each quasi-identifier: a double, or an array of its ancestors from leaf to top."""
@@ -243,6 +244,7 @@ class Clusterer:
         if not self.block_rows and n > EXACT_ROWS:
             raise ValueError(f"{n} rows are too many for the exact form; give block_rows")
         rows, spans, heights = self._encoded()
+        more = {"removal": self.removal} if self.method == "oka" else {}
         kernel, k, seed, flags = KERNELS[self.method], self.k, self.seed, [self.spec.categorical[c] for c in self.spec.qids]
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -256,7 +258,7 @@ class Clusterer:
                 levels = [pd.factorize(pdf[f"q{i}"].str[lv], use_na_sentinel=False)[0] for lv in range(heights[i] + 1)]
                 numbers.append(None)
                 codes.append(np.stack(levels, 1))
-            clusters, loss = kernel(Block(numbers, codes, spans), k, seed)
+            clusters, loss = kernel(Block(numbers, codes, spans), k, seed, **more)
             out = [(pdf["key"].iat[r], pdf["block"].iat[0], g, p, loss) for g, rows in enumerate(clusters) for p, r in enumerate(rows)]
             return pd.DataFrame(out, columns=["key", "block", "cluster", "member_pos", "information_loss"])
 

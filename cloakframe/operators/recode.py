@@ -13,13 +13,11 @@ GROUP = "group_id"
 
 
 def number_text(c: Column, kind: str) -> Column:
-    """A number as text: whole numbers plain, doubles always with a fraction, without exponents up to 1e16."""
+    """A number as text: whole numbers plain, doubles with a fraction and, from 1e-4 up to 1e16, without exponent."""
     if kind not in ("double", "float"):
         return c.cast("string")
-    plain = F.regexp_replace(F.format_string("%.17f", c), r"(\.\d*?)0+$", "$1")
-    short = F.when(F.abs(c) < 1e7, c.cast("string")).otherwise(F.concat(c.cast("decimal(20,2)").cast("string"), F.lit("")))
-    short = F.regexp_replace(short, r"(\.\d)0$", "$1")
-    return F.when((F.abs(c) >= 1e-3) & (F.abs(c) < 1e16) | (c == 0), short).otherwise(plain)
+    digits = F.regexp_replace(F.regexp_replace(c.cast("string").cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.when((F.abs(c) >= 1e-4) & (F.abs(c) < 1e16) | (c == 0), digits).otherwise(c.cast("string"))
 
 
 def _join_back(groups: DataFrame, values: DataFrame, spec: AnonSpec) -> DataFrame:

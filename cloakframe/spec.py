@@ -83,6 +83,12 @@ class AnonSpec:
         """The same metadata over other rows, such as a sample."""
         return replace(self, df=df, name=name or self.name)
 
+    def sample(self, n: int | None = None, frac: float | None = None, seed: int = 0) -> AnonSpec:
+        """The same metadata over an exact sample, stratified by the target."""
+        from .operators.sampling import stratified_sample
+
+        return self.with_df(stratified_sample(self.df, self.target, self.order_key, n, frac, seed), f"{self.name}_sample")
+
     def register(self) -> AnonSpec:
         REGISTRY[self.name] = self
         return self

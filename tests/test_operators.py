@@ -12,7 +12,7 @@ from cloakframe.operators import facets, sampling
 from cloakframe.operators.cluster import Clusterer
 from cloakframe.operators.generalize import generalize_column
 from cloakframe.operators.perturb import Perturbation
-from cloakframe.operators.recode import custom
+from cloakframe.operators.recode import custom, number_text
 from cloakframe.spec import AnonSpec
 from cloakframe.streaming.rowwise import generalize_stream
 
@@ -113,6 +113,18 @@ def test_sampling_rounds_half_to_even(spark):
         sampling.stratified_sample(df, "t", "k")
 
 
+def test_sampled_spec(spark):
+    spec = crime(spark)
+    half = AnonSpec(spec.df, spec.qids, spec.categorical, "marital-status", "row_id", spec.hierarchies, "c").sample(frac=0.5, seed=2)
+    assert half.df.groupBy("`marital-status`").count().collect() and half.df.count() == 3 and str(half) == "C_SAMPLE"
+
+
+@pytest.mark.parametrize(("value", "text"), [(29.0, "29.0"), (0.0, "0.0"), (-1.5, "-1.5"), (12345678.123, "12345678.123"), (1e15, "1000000000000000.0"), (0.00025, "0.00025")])
+def test_numbers_as_text(spark, value, text):
+    df = spark.createDataFrame([(value,)], "x double")
+    assert df.select(number_text(F.col("x"), "double")).first()[0] == text == str(value)
+
+
 def test_perturbation_keeps_bounds_types_and_nulls(spark):
     df = spark.range(3000).select("id", F.concat(F.lit("c"), (F.col("id") % 4).cast("string")).alias("c"), F.when(F.col("id") > 0, F.col("id") % 50).alias("x"))
     spec = AnonSpec(df, ("c", "x"), {"c": True, "x": False}, None, "id")
