@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -12,6 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import discard, materialize, shared_dir
+
+__all__ = ["Bitmap", "attach", "bitmap", "components", "discard", "fresh", "let", "load", "materialize", "scratch", "shared_dir"]
+
 #: A key is hot when it holds at least this share of the rows; there are then at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1000
 #: Fewer rows than this are never worth a separate way.
@@ -25,47 +26,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local master may leave it unset (tests); it then gets a temporary folder that goes with the process.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="cloakframe-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/cloakframe-{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path of the shared folder, whatever the file system."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what materialize() wrote for df, once no later plan reads it."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/cloakframe-" in path:
-            remove(df.sparkSession, path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like `names` that do not clash with those of df, upper and lower case alike."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -33,11 +33,12 @@ def repeat_filter(hashes: DataFrame, h: str, rows: int) -> Bitmap:
     return bitmap(flagged, F.col("block"), log_blocks, lambda c: F.shiftrightunsigned(c, 64 - log_blocks))
 
 
-def _decide(rows: DataFrame, sha: str, doc_id: str, uid: str, total: int) -> DataFrame:
-    """rows with columns keep (id, uid of the row that stays) and size of its group, found by one exact grouping."""
+def _decide(rows: DataFrame, sha: str, doc_id: str, uid: str, total: int) -> tuple[DataFrame, str, str]:
+    """rows with two more columns, whose names come too: id and uid of the row that stays, and its group's size."""
+    keep, size = fresh(rows, "keep", "size")
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(uid).alias("uid"))
-    groups = materialize(rows.groupBy(sha).agg(F.min(order).alias("_cf_keep"), F.count(F.lit(1)).alias("_cf_size")), "groups")
-    return attach(rows, groups, sha, "_cf_size", total)
+    groups = materialize(rows.groupBy(sha).agg(F.min(order).alias(keep), F.count(F.lit(1)).alias(size)), "groups")
+    return attach(rows, groups, sha, size, total), keep, size
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -52,11 +53,11 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     h = keyed.withColumn("h", F.xxhash64("text_sha256"))
     total = keyed.count()
     found = repeat_filter(h, "h", total).flag(h, F.col("h"), "again").drop("h")
-    again = _decide(found.filter("again"), "text_sha256", "doc_id", "uid", total)
+    again, keep, size = _decide(found.filter("again"), "text_sha256", "doc_id", "uid", total)
     once = found.filter("not again")
-    kept = F.col("uid") == F.col("_cf_keep.uid")
+    kept = F.col("uid") == F.col(f"{keep}.uid")
     cols = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    return again.select("doc_id", F.col("_cf_keep.id").alias("keep_id"), F.col("_cf_size").alias("group_size"), kept.alias("kept"), "text_sha256").unionByName(
+    return again.select("doc_id", F.col(f"{keep}.id").alias("keep_id"), F.col(size).alias("group_size"), kept.alias("kept"), "text_sha256").unionByName(
         once.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     ).select(*cols)
 
@@ -72,7 +73,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     total = narrow.count()
     found = repeat_filter(narrow, h, total).flag(hashed, F.col(h), again)
     rows = materialize(found.filter(F.col(again)).withColumn(uid, F.monotonically_increasing_id()), "repeated")
-    kept = _decide(rows, sha, doc_id, uid, total).filter(F.col(uid) == F.col("_cf_keep.uid"))
+    decided, keep, _ = _decide(rows, sha, doc_id, uid, total)
+    kept = decided.filter(F.col(uid) == F.col(f"{keep}.uid"))
     return found.filter(~F.col(again)).select(*docs.columns).unionByName(kept.select(*docs.columns))
 
 

@@ -196,7 +196,7 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """docs with personal data masked and disclosing terms generalised or removed in `text`; null texts stay null."""
     found = found_spans(docs, doc_id, text)
     terms = disclosing_terms(docs, found, text)
-    key, spans, may = fresh(docs, "key", "spans", "may")
+    key, spans, may, known = fresh(docs, "key", "spans", "may", "terms")
     body = F.col(text).cast("string")
     base = F.when(body.isNull(), F.array().cast(f"array<{SPAN}>")).otherwise(base_spans(_text(F.col(text))))
 
@@ -205,9 +205,9 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     if terms is None:
         return put(docs.withColumn(spans, base))
-    places = term_spans(docs, terms, text).select(F.col("key").alias(key), F.col("terms").alias("_cf_terms"))
+    places = term_spans(docs, terms, text).select(F.col("key").alias(key), F.col("terms").alias(known))
     marked = bitmap(places, F.col(key), max(20, places.count().bit_length() + 4)).flag(docs.withColumn(key, F.xxhash64(_text(F.col(text)))), F.col(key), may)
-    hit = marked.filter(F.col(may)).join(places, key, "left").withColumn(spans, base).withColumn(spans, _with_terms(F.col(spans), F.col("_cf_terms")))
+    hit = marked.filter(F.col(may)).join(places, key, "left").withColumn(spans, base).withColumn(spans, _with_terms(F.col(spans), F.col(known)))
     return put(marked.filter(~F.col(may)).withColumn(spans, base)).unionByName(put(hit))
 
 

@@ -6,12 +6,12 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, `_cf_h` string, keep_id long"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, `_cf_h` string, `_CF_keep` string, keep_id long"
 
 
 def frame(spark, rows):
     """Documents with extra columns whose names clash with those that operators use."""
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 7) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "y", 7) for i, t in rows], DOCS)
 
 
 def luhn(digits):
