@@ -26,7 +26,7 @@ from .common import load, materialize
 #: Vectors that the trees are fitted on, at most (about), trees, and fewest sample vectors that are split further.
 SAMPLE, TREES, LEAF = 8192, 16, 64
 #: Share of the rows, counted as often as they are met, that a query's leaves must hold.
-BUDGET = 1.1
+BUDGET = 1.8
 BLOCK, QUERIES, SEED = 4096, 1024, 11
 
 
