@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, components, fresh, load, materialize
+from .common import attach, bitmap, components, fresh, load, materialize
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
 #: Buckets of up to so many distinct fingerprints are compared pair by pair.
@@ -97,16 +97,23 @@ def _components(fps: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component the row with the smallest doc_id, with all its columns."""
-    uid, fp = fresh(docs, "uid", "fp")
+    """The rows of docs that stay: of each component the row with the smallest doc_id, with all its columns.
+
+    Texts are not shuffled but for rows that a bitmap of bounded size flags as possibly dropped.
+    """
+    uid, fp, may = fresh(docs, "uid", "fp", "may")
     source = docs.withColumn(uid, F.monotonically_increasing_id())
     tagged = materialize(fingerprints(source.withColumn(text, F.col(text).cast("string")), text, fp), "tagged")
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(uid).alias("uid"))
     narrow = tagged.select(F.col(fp).alias("fp"), order.alias("order"))
-    nodes = materialize(narrow.groupBy("fp").agg(F.min("order").alias("least")), "nodes")
-    roots = components(links(nodes))
-    kept = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    return tagged.join(kept.select(F.col("least.uid").alias(uid)), uid, "left_semi").select(*docs.columns)
+    nodes = materialize(narrow.groupBy("fp").agg(F.min("order").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    rooted = materialize(nodes.join(components(links(nodes)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    groups = rooted.groupBy("root").agg(F.min("least").alias("stays"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("fps")).filter("members > 1")
+    of_fp = materialize(attach(rooted.select("fp", "n", "root"), groups, "root", "fps", rooted.count()).filter("stays is not null").select("fp", "n", "stays"), "stays")
+    met = attach(narrow, of_fp, "fp", "n", tagged.count())
+    dropped = materialize(met.filter("stays is not null and order.uid <> stays.uid").select(F.col("order.uid").alias(uid)), "dropped")
+    flagged = bitmap(dropped, F.xxhash64(uid), max(20, dropped.count().bit_length() + 4)).flag(tagged, F.xxhash64(uid), may)
+    return flagged.filter(~F.col(may)).select(*docs.columns).unionByName(flagged.filter(F.col(may)).join(dropped, uid, "left_anti").select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
