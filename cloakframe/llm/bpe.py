@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import bound_batches, load
 
 #: Words in the transducer, at most, and the longest of them in bytes.
 LEXICON, LONGEST = 65_536, 48
 #: Chunks remembered at a time by a task, documents encoded together, and chunks counted before they are sent on.
-MEMO, TOGETHER, COUNTED = 600_000, 128, 300_000
+MEMO, TOGETHER, COUNTED = 250_000, 128, 200_000
 #: Words of up to so many symbols are merged together in arrays; longer ones by a heap.
 WIDE = 48
 NONE = np.int64(1 << 60)
@@ -444,6 +444,7 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     Null texts count as empty and have no ids. Repeated rows and null ids stay; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     vocabulary = Vocabulary.read(path)
     layout = spark.sparkContext.broadcast(lexicon(frequent_words(docs, vocabulary, text), vocabulary))
     shared = spark.sparkContext.broadcast(vocabulary)

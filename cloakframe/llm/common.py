@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import discard, materialize, shared_dir
 
-__all__ = ["Bitmap", "attach", "bitmap", "components", "discard", "fresh", "let", "load", "materialize", "scratch", "shared_dir"]
+__all__ = ["Bitmap", "attach", "bitmap", "bound_batches", "components", "discard", "fresh", "let", "load", "materialize", "scratch", "shared_dir"]
 
 #: A key is hot when it holds at least this share of the rows; there are then at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1000
@@ -19,6 +19,16 @@ HOT_SHARE = 1 / 1000
 HOT_LEAST = 500
 #: A broadcast bitmap has 2 ** MAX_BITS bits at most (16 MB); more values share bits then.
 MAX_BITS = 27
+#: Rows of an Arrow batch of texts, at most.
+ARROW_ROWS = 512
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_ROWS rows in this session: a batch of texts is held several times over, on and off
+    the executor's heap. A smaller setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, load
+from .common import bound_batches, fresh, load
 
 #: Trigrams are hashed to so many cells; so many languages, the most frequent ones, are learned.
 CELLS, MAX_LANGUAGES = 1 << 16, 256
@@ -26,8 +27,8 @@ SAMPLE = 2000
 ROUNDS, MAX_SET, SMOOTH = 12, 4, 0.5
 #: In the pipeline, a document without letters or without a language of this proportion is rejected.
 LEAST = 0.4
-#: Characters handled at a time; a longer text is one batch of its own.
-BATCH_CHARS = 400_000
+#: Bytes of text handled at a time; a longer text is one batch of its own.
+BATCH_BYTES = 250_000
 
 
 def bucket(doc_id: Column, n: int) -> Column:
@@ -105,19 +106,21 @@ def mixtures(texts: list[str], model: Model, letters: np.ndarray) -> tuple[np.nd
     return out, words
 
 
-def _batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _batches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about BATCH_BYTES together."""
     at = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or "") > BATCH_CHARS:
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if size and size + n > BATCH_BYTES:
             yield at, i
             at, size = i, 0
-        size += len(t or "")
+        size += n
     if at < len(texts):
         yield at, len(texts)
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns the languages of the rows whose bucket of 4 is not 2, on a sample of about SAMPLE documents of each."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket(F.col("id"), 4) != 2))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
@@ -135,7 +138,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(name, []).append(t)
             for name, texts in by.items():
-                for i, j in _batches(texts):
+                for i, j in _batches(pa.array(texts, pa.string())):
                     seen = np.bincount(_grams(texts[i:j], letters)[0], minlength=CELLS)
                     table[name] = table.get(name, 0) + seen
         for name, seen in table.items():
@@ -154,6 +157,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", to: tuple[str, st
 
     Null texts count as empty: 'und' with score 0. Ties go to the language first in order. Other columns stay.
     """
+    bound_batches(docs.sparkSession)
     at, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
     extra = [T.StructField(to[0], T.StringType()), T.StructField(to[1], T.DoubleType()), T.StructField(to[2], T.ArrayType(T.StringType()))]
     names = [*docs.columns, *to]
@@ -161,9 +165,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", to: tuple[str, st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, model = _letters(), shared.value
         for batch in batches:
-            texts = batch.column(at).cast(pa.string()).to_pylist()
-            for i, j in _batches(texts):
-                pi, words = mixtures([t or "" for t in texts[i:j]], model, letters)
+            for i, j in _batches(batch.column(at)):
+                pi, words = mixtures([t or "" for t in batch.column(at).slice(i, j - i).to_pylist()], model, letters)
                 und = (words == 0) | (not model.languages)
                 top = pi.argmax(1) if model.languages else np.zeros(j - i, int)
                 lang = ["und" if u else model.languages[k] for u, k in zip(und, top, strict=True)]

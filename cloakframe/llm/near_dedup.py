@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, bitmap, components, fresh, load, materialize
+from .common import attach, bitmap, bound_batches, components, fresh, load, materialize
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
 #: Buckets of up to so many distinct fingerprints are compared pair by pair.
@@ -44,6 +44,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> DataFrame:
     """docs with a long column `to`: the bits of each text's fingerprint."""
+    bound_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(to, T.LongType())])
     at, names = docs.columns.index(text), [*docs.columns, to]
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import TOGETHER, Encoder, Vocabulary
-from .common import discard, load, materialize
+from .common import bound_batches, discard, load, materialize
 
 CAPACITY, END_ID = 4096, 1
 GAP, DOCUMENT, PLACED = 0, 1, 2
@@ -35,6 +35,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     Null texts are empty: one piece that holds the end id alone. uid numbers the pieces.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, materialize
+from .common import bound_batches, load, materialize
 from .language import bucket
 
 #: Labelled documents that the machine is fitted on, at most (about); hashed terms; terms that it keeps; factors.
@@ -122,6 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", to: str = "score") -> DataFrame:
     """docs with the probability of label 1; null texts count as empty, which score as the bias alone."""
+    bound_batches(docs.sparkSession)
     at, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(machine)
     names = [*docs.columns, to]
 
