@@ -4,7 +4,9 @@ Documents longer than a sequence are cut into whole sequences and a rest. The re
 are range-sorted together by size, largest first. Each partition sweeps its rows: a gap is pushed, a document takes the
 gap pushed last, which is its successor, the smallest free gap that holds it. What a partition cannot match is resolved
 by rank between partitions from their counts alone, and those documents and gaps are joined on the slot number. Gaps are
-updated and the round repeats until few documents find a gap; these open new sequences by best fit within partitions.
+updated and the round repeats until few documents find a gap. As a gap takes one document a round, the rest is filled
+otherwise: gaps and documents that can still meet are dealt to tasks by a hash, where gaps take as many as they hold, in
+turn with rounds, until no document fits any gap. Only those open new sequences, by best fit within partitions.
 Every round is a table in the shared folder; the driver sees two counts a partition.
 """
 
@@ -25,9 +27,11 @@ from .common import bound_batches, discard, load, materialize
 
 CAPACITY, END_ID = 4096, 1
 GAP, DOCUMENT, PLACED = 0, 1, 2
-#: Rows of a sweep's partition, about; sequences that one task opens in the end; share of documents below which a round is the last.
+#: Rows of a sweep's partition, about; sequences that one task opens in the end; share of documents below which
+#: gaps and documents are dealt to tasks after a round.
 ROWS, OPENED, WORTH = 20_000, 2000, 0.02
 STATE = "part int, kind int, id long, size int, rank long, bin long, gap int"
+FILLED = "kind int, id long, size int, bin long, gap int"
 
 
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
@@ -114,6 +118,29 @@ def _resolve(counts: list[tuple[int, int, int]]) -> tuple[list[tuple], list[tupl
     return docs, gaps
 
 
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Best fit, longest first, of one task's documents into its gaps; a gap takes as many as it holds."""
+    docs, gaps = [], []
+    for b in batches:
+        for kind, at, size in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            (gaps if kind == GAP else docs).append((size, at))
+    gaps.sort()
+    out = []
+    for size, at in sorted(docs, key=lambda d: (-d[0], d[1])):
+        k = bisect_left(gaps, (size, -1))
+        if k == len(gaps):
+            out.append((DOCUMENT, at, size, None, None))
+            continue
+        gap, bin_ = gaps.pop(k)
+        out.append((PLACED, at, size, bin_, gap))
+        if gap > size:
+            insort(gaps, (gap - size, bin_))
+    out += [(GAP, bin_, size, None, None) for size, bin_ in gaps]
+    for i in range(0, len(out), 10_000):
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 10_000], strict=True), kinds, strict=True)], names=["kind", "id", "size", "bin", "gap"])
+
+
 def _open(batches: Iterator[pa.RecordBatch], base: int, capacity: int) -> Iterator[pa.RecordBatch]:
     """Best fit, longest first, into sequences that this task opens."""
     docs = sorted((-s, i) for b in batches for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
@@ -139,8 +166,25 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     waiting, opened = total["n"], -(-total["tokens"] // capacity)
     docs = items.select(F.lit(DOCUMENT).alias("kind"), F.col("uid").alias("id"), F.col("size").cast("int").alias("size"))
     state = docs.unionByName(spark.range(opened).select(F.lit(GAP).alias("kind"), "id", F.lit(capacity).alias("size")))
-    rows, done, going = waiting + opened, [], waiting > 0
-    while going:
+    rows, done, aside, dealing = waiting + opened, [], [], False
+    took = lambda t: t.filter(F.col("kind") == PLACED).select(F.col("id").alias("uid"), F.col("bin").alias("sequence_id"), (capacity - F.col("gap")).cast("long").alias("offset"))
+    while waiting:
+        if dealing:  # only what can still meet: gaps never grow
+            is_gap = F.col("kind") == GAP
+            least, most = state.agg(F.min(F.when(~is_gap, F.col("size"))), F.max(F.when(is_gap, F.col("size")))).first()
+            if most is None or least > most:
+                break
+            aside.append(state.filter(~is_gap & (F.col("size") > most)))
+            state = state.filter(F.when(is_gap, F.col("size") >= least).otherwise(F.col("size") <= most))
+            tasks = -(-state.count() // ROWS)
+            dealt = state.repartition(1) if tasks == 1 else state.repartition(tasks, F.xxhash64(F.lit(len(done)), "kind", "id"))
+            table = materialize(dealt.select("kind", "id", "size").mapInArrow(_fill, FILLED), "filled")
+            done.append(took(table))
+            state = table.filter(F.col("kind") != PLACED).select("kind", "id", "size")
+            kinds = {r["kind"]: r["count"] for r in state.groupBy("kind").count().collect()}
+            waiting, rows = kinds.get(DOCUMENT, 0), sum(kinds.values())
+            if tasks == 1 or not waiting:  # one task saw all: nothing fits any more
+                break
         order = [F.desc("size"), F.asc("kind"), F.asc("id")]
         swept = state.repartitionByRange(max(4, -(-rows // ROWS)), *order).sortWithinPartitions(*order)
         swept = materialize(swept.select("kind", "id", "size").mapInArrow(_sweep, STATE), "swept")
@@ -166,14 +210,16 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         table = materialize(table, "round")
         discard(swept)
         matched += sum(h - l for _, l, h, _ in pairs[0])
-        done.append(table.filter(F.col("kind") == PLACED).select(F.col("id").alias("uid"), F.col("bin").alias("sequence_id"), (capacity - F.col("gap")).cast("long").alias("offset")))
-        going = waiting > matched >= max(1, WORTH * waiting)
+        done.append(took(table))
+        dealing = dealing or matched < max(1, WORTH * waiting)
         waiting, rows = waiting - matched, rows - matched
         left = table.filter(F.col("kind") == DOCUMENT).select("kind", "id", "size")
         gaps = table.filter(F.col("kind") == PLACED).select(F.lit(GAP).alias("kind"), F.col("bin").alias("id"), (F.col("gap") - F.col("size")).alias("size")).filter("size > 0")
         state = left.unionByName(table.filter(F.col("kind") == GAP).select("kind", "id", "size")).unionByName(gaps)
-    if waiting:
-        tokens = left.agg(F.sum("size")).first()[0]
+    left = state.filter(F.col("kind") == DOCUMENT)
+    for late in aside:
+        left = left.unionByName(late)
+    if tokens := left.agg(F.sum("size")).first()[0]:
         dealt = left.select("id", "size").repartition(-(-tokens // (capacity * OPENED)), F.xxhash64("id"))
         done.append(materialize(dealt.mapInArrow(lambda b: _open(b, opened, capacity), "uid long, sequence_id long, offset long"), "opened"))
     out = spark.createDataFrame([], "uid long, sequence_id long, offset long")

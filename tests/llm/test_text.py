@@ -117,6 +117,16 @@ def test_packing_of_one_size(spark):
     assert packing.pack(items).count() == 3000 and got <= 1.02 * (1000 * 2048 + 2000 * 1000) / 4096 + 1
 
 
+@pytest.mark.parametrize("size", ["50", "IF(id % 100 = 0, 1000, 20 + id % 60)"])
+def test_packing_of_short_documents(spark, size):
+    """A gap takes one piece a round, far below the share of rounds that pay; the gaps must be filled all the same."""
+    items = spark.range(30_000).selectExpr("id AS uid", f"{size} AS size")
+    got = packing.pack(items).join(items, "uid").groupBy("sequence_id").agg({"size": "sum", "offset": "count", "*": "count"}).collect()
+    tokens = items.selectExpr("sum(size)").first()[0]
+    assert sum(r["count(1)"] for r in got) == 30_000 and all(r["sum(size)"] <= 4096 for r in got)
+    assert len(got) <= 1.01 * tokens / 4096 + 2
+
+
 def test_resolution_by_rank():
     docs, gaps = packing._resolve([(0, 0, 3), (1, 2, 1), (2, 5, 0)])
     assert sum(h - l for _, l, h, _ in docs) == sum(h - l for _, l, h, _ in gaps) == 4
