@@ -25,8 +25,6 @@ CELLS, MAX_LANGUAGES = 1 << 16, 256
 #: The classifier is fitted on about so many documents of each language, dealt by a hash of their id.
 SAMPLE = 2000
 ROUNDS, MAX_SET, SMOOTH = 12, 4, 0.5
-#: In the pipeline, a document without letters or without a language of this proportion is rejected.
-LEAST = 0.4
 #: Bytes of text handled at a time; a longer text is one batch of its own.
 BATCH_BYTES = 250_000
 
@@ -185,10 +183,10 @@ def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
 
 
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of docs with letters and a language of proportion LEAST or more, with their columns."""
+    """The rows of docs with letters and a language, or several of whatever proportions, with their columns."""
     to = fresh(docs, "lang_pred", "score", "languages")
     named = predict(docs.withColumn(text, F.col(text).cast("string")), fit(docs, doc_id, text, lang), text, tuple(to))
-    return named.filter((F.col(to[0]) != "und") & (F.col(to[1]) >= LEAST)).select(*docs.columns)
+    return named.filter(F.col(to[0]) != "und").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

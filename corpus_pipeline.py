@@ -15,7 +15,7 @@ from cloakframe.llm.common import load, materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or without a main language."""
+    """Drops documents without letters; those in several languages stay."""
     return language.keep_identified(docs)
 
 

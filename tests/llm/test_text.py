@@ -154,6 +154,16 @@ def test_language_mixtures():
     assert pi[4] == pytest.approx([0.75, 0.25], abs=0.01)
 
 
+def test_documents_in_several_languages_stay(spark):
+    words = {"en": "the and with from this", "fr": "les des une avec dans", "de": "der und nicht auch sich"}
+    rows = [(100 * k + i, t, n) for k, (n, t) in enumerate(words.items()) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (900, " ".join(words.values()), "en"), (901, "12 !", "en")], "doc_id long, text string, lang string")
+    mixed = next(r for r in language.language_id(docs).collect() if r["doc_id"] == 900)
+    assert len(mixed["languages"]) == 3 and mixed["score"] < 0.4
+    kept = {r["doc_id"] for r in language.keep_identified(docs).collect()}
+    assert 900 in kept and 901 not in kept
+
+
 def test_toxicity(spark):
     rnd = random.Random(5)
     words = [f"w{c}{d}" for c in "abcdefghij" for d in "klmnopqr"]
