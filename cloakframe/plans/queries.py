@@ -96,10 +96,9 @@ def _over_groups(metric: Callable) -> Callable:
     return run
 
 
-def _cluster(method: str) -> Callable:
+def _cluster(method: str, block_rows: int | None = None) -> Callable:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        spec = supplier_spec(spark, d)
-        return Clusterer(spec, 3, method, "summarization", seed=7, block_rows=500 if spec.df.count() > 1500 else None).transform().df
+        return Clusterer(supplier_spec(spark, d), 3, method, "summarization", seed=7, block_rows=block_rows).transform().df
 
     return run
 
@@ -175,6 +174,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ncp_summarization": _over_groups(utility.ncp_summarization),
     "kmember_table": _cluster("k_member"),
     "oka_table": _cluster("oka"),
+    "kmember_blocked_table": _cluster("k_member", 500),
+    "oka_blocked_table": _cluster("oka", 500),
     "perturb_p": _perturb_p,
     "perturb_b": _perturb_b,
     "perturb_table": _perturb_table,
