@@ -1,11 +1,12 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms around them.
 
 Base spans (e-mail, IP, card, phone) are found with SQL regular expressions. Then the corpus tells which ordinary terms
-give a protected entity away: with n(e, t) the number of different contexts in which term t stands near entity e, df(t)
-the documents with t and df(e) those with e, the term discloses PMI(e; t) = log2(n(e, t) / df(t)) - log2(df(e) / N) bits
-out of the entity's IC(e) = -log2(df(e) / N). Terms that disclose DISCLOSURE of it or more, with a posterior of at least
-POSTERIOR, are generalised, and removed from a posterior of REMOVE on. Contexts are counted once however many copies of
-a document there are. All of it is DataFrame code; terms are sought by bitmaps of bounded size, and joined exactly.
+give a protected entity away: with n(e, t) the number of documents in which term t stands near entity e, df(t) the
+documents with t, df(e) those with e and N all, the term discloses PMI(e; t) = log2(n(e, t) / df(t)) - log2(df(e) / N)
+bits out of the entity's IC(e) = -log2(df(e) / N). Terms that disclose DISCLOSURE of it or more, with a posterior of at least
+POSTERIOR, are generalised, and removed from a posterior of REMOVE on. Copies count in all of
+these alike; a pair needs SUPPORT different texts. All of it is DataFrame code; terms are sought by bitmaps of bounded
+size, and joined exactly.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x
 TERM = r"\p{L}{3,}"
 #: Characters and terms on each side of a span that make its context.
 NEAR_CHARS, NEAR_TERMS = 80, 6
-#: A pair counts from so many different contexts on.
+#: A pair counts from so many different texts on.
 SUPPORT = 3
 DISCLOSURE, POSTERIOR, REMOVE = 0.8, 0.5, 0.9
 SPAN = "struct<kind:string,start:int,end:int,match:string>"
@@ -93,7 +94,7 @@ def base_spans(text: Column) -> Column:
 
 
 def _contexts(text: Column, spans: Column) -> Column:
-    """Of every span: entity, a hash of kind and value; context, a hash of its surroundings; terms in them."""
+    """Of every span: entity, a hash of kind and value; the terms around it."""
 
     def one(s: Column) -> Column:
         left = F.regexp_replace(F.substring(text, F.greatest(s["start"] + 1 - NEAR_CHARS, F.lit(1)), F.least(s["start"], F.lit(NEAR_CHARS))), r"^\S*\s", "")
@@ -101,7 +102,7 @@ def _contexts(text: Column, spans: Column) -> Column:
         words = lambda side: F.regexp_extract_all(F.lower(side), F.lit(TERM), F.lit(0))
         near = let(words(left), lambda w: F.slice(w, F.greatest(F.size(w) - NEAR_TERMS + 1, F.lit(1)), F.lit(NEAR_TERMS)))
         terms = F.array_distinct(F.concat(near, F.slice(words(right), 1, NEAR_TERMS)))
-        return F.struct(F.xxhash64(s["kind"], F.lower(s["match"])).alias("entity"), F.xxhash64(left, right).alias("context"), terms.alias("terms"))
+        return F.struct(F.xxhash64(s["kind"], F.lower(s["match"])).alias("entity"), terms.alias("terms"))
 
     return F.transform(spans, one)
 
@@ -111,16 +112,16 @@ def _text(c: Column) -> Column:
 
 
 def found_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, key (hash of the text), spans and their contexts, written once."""
+    """row (a number), doc_id, key (hash of the text), spans and their contexts, written once."""
     got = docs.select(F.col(doc_id).alias("doc_id"), _text(F.col(text)).alias("text")).withColumn("spans", base_spans(F.col("text")))
-    return materialize(got.select("doc_id", F.xxhash64("text").alias("key"), "spans", _contexts(F.col("text"), F.col("spans")).alias("contexts")), "spans")
+    return materialize(got.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("key"), "spans", _contexts(F.col("text"), F.col("spans")).alias("contexts")), "spans")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str) -> DataFrame | None:
     """term, posterior of the terms that reveal an entity; None when no pair has the support for it."""
-    seen = found.filter(F.size("contexts") > 0).select("contexts")
-    pairs = seen.select(F.explode("contexts").alias("c")).select("c.entity", "c.context", F.explode("c.terms").alias("term"))
-    counts = pairs.groupBy("entity", "term", "context").count().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SUPPORT)
+    seen = found.filter(F.size("contexts") > 0).select("row", "key", "contexts")
+    pairs = seen.select("row", "key", F.explode("contexts").alias("c")).select("row", "key", "c.entity", F.explode("c.terms").alias("term")).distinct()
+    counts = pairs.groupBy("entity", "term", "key").count().groupBy("entity", "term").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT)
     pairs = materialize(counts, "pairs")
     terms = pairs.select("term").distinct()
     if not (n_terms := terms.count()):

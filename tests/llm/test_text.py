@@ -34,6 +34,19 @@ def test_disclosing_terms(spark):
     assert pii.sanitise(docs).columns == docs.columns and pii.pii_spans(docs.limit(0)).count() == 0
 
 
+def test_copies_do_not_change_disclosing_terms(spark):
+    rows = [(i, f"word{i} filler text stuff. contact Zorblax Quimby at zorb@lax.com for item {chr(97 + i) * 4} today.") for i in range(5)]
+    rows += [(200 + i, f"contact filler text at today for item stuff other {chr(97 + i % 26) * (3 + i // 26)}") for i in range(100)]
+
+    def found(more):
+        docs = brute.frame(spark, rows + more)
+        terms = pii.disclosing_terms(docs, pii.found_spans(docs, "doc_id", "text"), "text")
+        return sorted(map(tuple, terms.collect()))
+
+    alone = found([])
+    assert [t for t, _ in alone] == ["quimby", "zorblax"] and found([(1000 + i, rows[0][1]) for i in range(60)]) == alone
+
+
 def test_masking_of_overlaps(spark):
     docs = brute.frame(spark, [(1, "call +1.2.3.4 5678 or a@1.2.3.4, é 4111 1111 1111 1111!")])
     assert pii.sanitise(docs).first()["text"] == "call [PHONE] or [EMAIL], é [CARD]!"
