@@ -3,7 +3,10 @@
 Terms are a text's words and their first four and five letters, hashed; a document has a term or not. The machine's
 score is a bias, a weight for every term present, and for every pair present the product of their factor vectors, so
 that pairs such as an insult with a group mention count beyond their single weights. It is fitted by AdaGrad on a
-bounded sample of labelled documents, over the FEATURES terms that tell the labels apart best.
+bounded sample of labelled documents, over every hashed term that tells the labels apart by more than chance, alone or
+together with the other terms of its documents. The latter is sought in what the single terms leave unexplained, by a
+random sketch of each document: its sum over a term's documents is far from zero when pairs with the term matter, even
+if neither term tells anything alone.
 """
 
 from __future__ import annotations
@@ -19,14 +22,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, load, materialize
+from .common import bound_batches, discard, load, materialize
 from .language import bucket
 
-#: Labelled documents that the machine is fitted on, at most (about); hashed terms; terms that it keeps; factors.
-SAMPLE, CELLS, FEATURES, FACTORS = 20_000, 1 << 22, 1024, 8
-EPOCHS, BATCH, RATE, DECAY, SEED = 12, 256, 0.15, 2e-4, 17
+#: Labelled documents that the machine is fitted on, at most (about); hashed terms (the bound of the machine: CELLS times
+#: FACTORS + 1 numbers of four bytes); factors.
+SAMPLE, CELLS, FACTORS = 20_000, 1 << 21, 8
 #: A term must stand in so many sample documents.
 SUPPORT = 5
+EPOCHS, BATCH, RATE, DECAY, SEED = 12, 256, 0.15, 2e-4, 17
+#: Standard deviations from chance by which a term counts, alone or in company, however many such terms there are; numbers
+#: of a document's sketch; share of the documents from which on a term stands in it at full length.
+EVIDENCE, SKETCH, COMMON = 6.0, 16, 0.05
 PREFIXES = (4, 5)
 WORD = re.compile(r"[^\W\d_]+")
 #: Distinct words remembered at a time.
@@ -39,6 +46,11 @@ def cells_of(word: str) -> tuple[int, ...]:
     return (h(word) % CELLS, *(h(f"{word[:k]}*") % CELLS for k in PREFIXES if len(word) >= k))
 
 
+def terms_of(text: str | None) -> list[int]:
+    """The hashed terms of a text, sorted, each once; null counts as empty."""
+    return sorted({c for w in set(WORD.findall((text or "").lower())) for c in cells_of(w)})
+
+
 @dataclass
 class Machine:
     cells: np.ndarray  # sorted hashed terms that count
@@ -57,37 +69,71 @@ class Machine:
         return out
 
 
+def _alone(flat: np.ndarray, doc: np.ndarray, y: np.ndarray, terms: int) -> np.ndarray:
+    """Standard deviations by which the labels of each term's documents differ from chance."""
+    df, off = np.bincount(flat, minlength=terms), np.bincount(flat, weights=(y - y.mean())[doc], minlength=terms)
+    return np.abs(off) / np.sqrt(np.maximum(df, 1) * max(y.mean() * (1 - y.mean()), 1e-9))
+
+
+def _in_company(flat: np.ndarray, doc: np.ndarray, missed: np.ndarray, spread: np.ndarray, terms: int) -> np.ndarray:
+    """The same for each term together with the others of its documents; missed: label less probability, spread: its variance."""
+    n = len(missed)
+    sums = lambda x: np.bincount(flat, weights=x[doc], minlength=terms)
+    size = np.sqrt(np.minimum(1, np.bincount(flat, minlength=terms) / n / COMMON))
+    rng, told, single = np.random.default_rng(SEED), np.zeros(terms), sums(missed)
+    for _ in range(SKETCH):
+        part = size * rng.normal(size=terms)
+        near = np.bincount(doc, weights=part[flat], minlength=n)
+        told += (sums(missed * near) - part * single) ** 2 / np.maximum(sums(spread * near**2), 1e-12)
+    return (told - SKETCH) / np.sqrt(2 * SKETCH)
+
+
 def train(cells: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> Machine:
-    """Fits the machine over the sorted hashed terms `cells`; rows: those that each document has."""
-    n, pos = len(rows), float(y.sum())
+    """Fits the machine over those of the sorted hashed terms `cells` that tell; rows: those that each document has."""
+    count = np.array([len(r) for r in rows], np.int64)
+    flat = np.searchsorted(cells, np.concatenate([*rows, cells[:0]]))
+    doc = np.repeat(np.arange(len(rows)), count)
+    if not len(cells) or not 0 < y.sum() < len(y):
+        return _fit(cells, flat, doc, y, np.zeros(len(cells), bool))
+    chosen = _alone(flat, doc, y, len(cells)) >= EVIDENCE
+    first = _fit(cells, flat, doc, y, chosen)
+    held = chosen[flat]
+    z = first.score((np.cumsum(chosen) - 1)[flat[held]], np.searchsorted(doc[held], np.arange(len(y))), np.bincount(doc[held], minlength=len(y)))
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    more = _in_company(flat, doc, y - p, p * (1 - p) + 0.01, len(cells)) >= EVIDENCE
+    return _fit(cells, flat, doc, y, chosen | more) if (more & ~chosen).any() else first
+
+
+def _fit(cells: np.ndarray, flat: np.ndarray, doc: np.ndarray, y: np.ndarray, chosen: np.ndarray) -> Machine:
+    """AdaGrad over the chosen terms; flat, doc: term and document of every entry, by document."""
+    n, pos = len(y), float(y.sum())
     prior = (pos + 0.5) / (n + 1.0)
+    bias, held = float(np.log(prior / (1 - prior))), chosen[flat]
+    flat, count, cells = (np.cumsum(chosen) - 1)[flat[held]], np.bincount(doc[held], minlength=n), cells[chosen]
     rng = np.random.default_rng(SEED)
-    m = Machine(cells, float(np.log(prior / (1 - prior))), np.zeros(len(cells)), rng.normal(0, 0.05, (len(cells), FACTORS)))
-    if not len(cells) or not 0 < pos < n:
+    m = Machine(cells, bias, np.zeros(len(cells), np.float32), rng.normal(0, 0.05, (len(cells), FACTORS)).astype(np.float32))
+    if not len(cells):
         return m
-    count = np.array([len(r) for r in rows])
-    ids = np.searchsorted(cells, np.concatenate(rows))
-    starts = np.concatenate(([0], np.cumsum(count)[:-1]))
-    gw, gv, gb = np.full(len(cells), 1e-8), np.full(m.v.shape, 1e-8), 1e-8
+    gw, gv, gb = np.full(len(cells), 1e-8, np.float32), np.full(m.v.shape, 1e-8, np.float32), 1e-8
+    starts = np.cumsum(count) - count
     for _ in range(EPOCHS):
         order = rng.permutation(n)
         for i in range(0, n, BATCH):
             d = order[i : i + BATCH]
             c = count[d]
-            at = np.concatenate(([0], np.cumsum(c)[:-1]))
-            f = ids[np.repeat(starts[d] - at, c) + np.arange(c.sum())]
+            at = np.cumsum(c) - c
+            f = flat[np.repeat(starts[d] - at, c) + np.arange(c.sum())]
             z = m.score(f, at, c)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[d]) / len(d)
-            gb += g.sum() ** 2
-            m.bias -= RATE * g.sum() / np.sqrt(gb)
+            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[d]) / len(d)).astype(np.float32)
+            gb += float(g.sum()) ** 2
+            m.bias -= RATE * float(g.sum()) / gb**0.5
             if not len(f):
                 continue
-            v, each = m.v[f], np.repeat(g, c)
-            s = np.zeros((len(d), FACTORS))
+            v, each, s = m.v[f], np.repeat(g, c), np.zeros((len(d), FACTORS), np.float32)
             s[c > 0] = np.add.reduceat(v, at[c > 0], axis=0)
-            dw = np.bincount(f, weights=each, minlength=len(cells)) + DECAY * m.w
-            dv = DECAY * m.v
-            np.add.at(dv, f, each[:, None] * (np.repeat(s, c, axis=0) - v))
+            pull = each[:, None] * (np.repeat(s, c, axis=0) - v)
+            dw = np.bincount(f, weights=each, minlength=len(cells)).astype(np.float32) + DECAY * m.w
+            dv = np.stack([np.bincount(f, weights=pull[:, j], minlength=len(cells)) for j in range(FACTORS)], 1).astype(np.float32) + DECAY * m.v
             gw += dw**2
             gv += dv**2
             m.w -= RATE * dw / np.sqrt(gw)
@@ -96,7 +142,11 @@ def train(cells: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> Machine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
-    """Fits on labelled documents whose bucket of 5 is not 0; of several labels for an id the largest counts."""
+    """Fits on labelled documents whose bucket of 5 is not 0; of several labels for an id the largest counts.
+
+    The driver holds the terms of about SAMPLE documents and the machine over those of SUPPORT documents or more. Null
+    labels and null ids teach nothing, null texts have no terms, documents of equal terms and label count once.
+    """
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y")).filter(bucket(F.col("id"), 5) != 0)
     share = min(1.0, SAMPLE / max(1, known.count()))
     drawn = known.filter(F.pmod(F.xxhash64(F.lit("toxicity sample"), "id"), F.lit(1_000_000)) / 1e6 < share)  # about SAMPLE rows: small enough to broadcast
@@ -104,20 +154,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [sorted({c for w in set(WORD.findall((t or "").lower())) for c in cells_of(w)}) for t in batch.column(1).to_pylist()]
+            got = [terms_of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], names=["y", "terms"])
 
-    listed = materialize(rows.mapInArrow(terms, "y int, terms array<int>"), "terms")
-    n, pos = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    prior = (pos + 0.5) / (n + 1.0)
-    each = listed.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("hits")).filter(F.col("df") >= SUPPORT)
-    p = (F.col("hits") + prior) / (F.col("df") + 1.0)
-    gain = F.col("df") * (p * F.log(p / prior) + (1 - p) * F.log((1 - p) / (1 - prior)))
-    chosen = [r["term"] for r in each.select("term", gain.alias("gain")).filter("gain > 0").orderBy(F.desc("gain"), "term").limit(FEATURES).collect()]
-    held = F.array(*[F.lit(c) for c in sorted(chosen)]).cast("array<int>")
-    docs_of = [(tuple(sorted(r["t"])), r["y"]) for r in listed.select("y", F.array_intersect("terms", held).alias("t")).collect()]
-    docs_of.sort()  # the same machine however rows are dealt
-    return train(np.array(sorted(chosen), np.int64), [np.array(t, np.int64) for t, _ in docs_of], np.array([y for _, y in docs_of], float))
+    listed = materialize(rows.mapInArrow(terms, "y int, terms array<int>").distinct(), "terms")  # copies teach once
+    enough = listed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= SUPPORT).select("term")
+    cells = np.sort(enough.toArrow()["term"].to_numpy()).astype(np.int64)
+    table = listed.select(F.xxhash64("terms", "y").alias("h"), "y", "terms").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])  # the same machine however rows are dealt
+    discard(listed)
+    y, lists = table["y"].to_numpy().astype(float), table["terms"].combine_chunks()
+    flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    held = np.isin(flat, cells)
+    ends = np.cumsum(size)
+    kept = np.concatenate(([0], np.cumsum(held)))[np.concatenate(([0], ends))]
+    return train(cells, np.split(flat[held].astype(np.int64), kept[1:-1]) if len(y) else [], y)
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", to: str = "score") -> DataFrame:
@@ -128,7 +178,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", to: str = "scor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memo = shared.value, {}
-        place = {int(c): i for i, c in enumerate(m.cells)}
+        place = {int(c): i for i, c in enumerate(m.cells)}  # of the sample's terms with support
 
         def places(w: str) -> tuple[int, ...]:
             if (got := memo.get(w)) is None:
@@ -149,7 +199,12 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", to: str = "scor
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted (1 from a score of 0.5 on). An empty table gives no rows."""
+    """One row per document: doc_id, held_out, score, predicted (1 from a score of 0.5 on).
+
+    Null and empty texts and those without known terms score as the bias alone. Repeated rows and null ids stay, long
+    texts are scored whole, further columns of docs and labels are ignored whatever their names, an empty table gives no
+    rows, and without labels of both kinds every score is the prior.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), (bucket(F.col(doc_id), 5) == 0).alias("held_out"))
     scored = score(rows, fit(docs, labels, doc_id, text, label))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

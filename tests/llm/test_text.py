@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -206,3 +207,31 @@ def test_machine_learns_pairs():
     m = toxicity.train(np.array([10, 20]), rows, np.array(y))
     z = m.score(np.array([0, 0, 1, 1]), np.array([0, 1, 3]), np.array([1, 2, 1]))
     assert z[0] < 0 < z[1] and z[2] < 0
+
+
+def test_pair_among_thousands_of_words(spark):
+    """The label is whether both or neither of two words stand in a text: neither tells anything alone."""
+    rnd = random.Random(8)
+    letters = "abcdefgh"
+    words = ["".join(x) + "z" for x in itertools.product(letters, repeat=4)] + ["".join(x) + "yy" for x in itertools.product(letters, repeat=4)]
+    rows, labels = [], []
+    for i in range(8000):
+        on = rnd.random() < 0.5, rnd.random() < 0.5
+        rows.append((i, " ".join([*rnd.choices(words, k=30), *(w for w, o in zip(("alpha", "bravo"), on, strict=True) if o)])))
+        labels.append((i, 1, int(on[0] == on[1])))
+    assert len(words) > 8000
+    got = toxicity.toxicity(brute.frame(spark, rows), spark.createDataFrame(labels, "doc_id long, text int, toxic int")).collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == 8000 and sum(r["predicted"] == labels[r["doc_id"]][2] for r in held) >= 0.95 * len(held)
+
+
+def test_score_is_the_sum_over_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    texts_ = ["red fish blue fish", "blue", "", None, "one red red unknown"]
+    cells = np.array(sorted({c for t in texts_[:2] for c in toxicity.terms_of(t)}))
+    m = toxicity.Machine(cells, -0.3, rng.normal(size=len(cells)), rng.normal(size=(len(cells), 3)))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(brute.frame(spark, list(enumerate(texts_))), m).collect()}
+    for i, t in enumerate(texts_):
+        at = [int(k) for k in np.flatnonzero(np.isin(cells, toxicity.terms_of(t)))]
+        z = m.bias + sum(m.w[k] for k in at) + sum(m.v[a] @ m.v[b] for n, a in enumerate(at) for b in at[:n])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
