@@ -1,20 +1,27 @@
-"""Personal data: pattern spans, and information-theoretic sanitisation of the terms around them.
+"""Personal data: pattern spans, and information-theoretic sanitisation of the terms that give them away.
 
 Base spans (e-mail, IP, card, phone) are found with SQL regular expressions. Then the corpus tells which ordinary terms
-give a protected entity away: with n(e, t) the number of documents in which term t stands near entity e, df(t) the
-documents with t, df(e) those with e and N all, the term discloses PMI(e; t) = log2(n(e, t) / df(t)) - log2(df(e) / N)
-bits out of the entity's IC(e) = -log2(df(e) / N). Terms that disclose DISCLOSURE of it or more, with a posterior of at least
-POSTERIOR, are generalised, and removed from a posterior of REMOVE on. Copies count in all of
-these alike; a pair needs SUPPORT different texts. All of it is DataFrame code; terms are sought by bitmaps of bounded
-size, and joined exactly.
+give a protected entity away: with n(e, t) the number of documents that hold entity e and term t, df(t) those with t,
+df(e) those with e and N all, the term discloses PMI(e; t) = log2(n(e, t) / df(t)) - log2(df(e) / N) bits out of the
+entity's IC(e) = -log2(df(e) / N). Terms that disclose DISCLOSURE of it or more, with a posterior n(e, t) / df(t) of at
+least POSTERIOR, are told. Whole documents count, copies alike on both sides; a pair needs SUPPORT different texts.
+
+A told term is generalised to the least general of its classes that is not told itself - all terms with its first three
+letters, then all with its first letter, whose documents are counted in the same way - and removed if both are told.
+
+Entities that stand in exactly the same documents are one class of entities, so that a list of thousands of addresses
+that several documents share makes one pair a term, not thousands. All of it is DataFrame code; terms are sought by
+bitmaps of bounded size, and joined exactly; hot keys are split.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, fresh, let, load, materialize
+from .common import attach, bitmap, discard, fresh, let, load, materialize
 
 # The patterns of the base spans. Possessive and anchored at the start of a run, they match what the plain
 # forms match, leftmost first, in linear time and without deep recursion.
@@ -28,11 +35,9 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x20-]{14}", "phone": r"\+[0-9]"}
 #: A term: letters only, at least three.
 TERM = r"\p{L}{3,}"
-#: Characters and terms on each side of a span that make its context.
-NEAR_CHARS, NEAR_TERMS = 80, 6
 #: A pair counts from so many different texts on.
 SUPPORT = 3
-DISCLOSURE, POSTERIOR, REMOVE = 0.8, 0.5, 0.9
+DISCLOSURE, POSTERIOR = 0.8, 0.5
 SPAN = "struct<kind:string,start:int,end:int,match:string>"
 _BLOCK = 256
 
@@ -93,70 +98,139 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of, PATTERNS))
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """Of every span: entity, a hash of kind and value; the terms around it."""
+def _text(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
 
-    def one(s: Column) -> Column:
-        left = F.regexp_replace(F.substring(text, F.greatest(s["start"] + 1 - NEAR_CHARS, F.lit(1)), F.least(s["start"], F.lit(NEAR_CHARS))), r"^\S*\s", "")
-        right = F.regexp_replace(F.substring(text, s["end"] + 1, F.lit(NEAR_CHARS)), r"\s\S*$", "")
-        words = lambda side: F.regexp_extract_all(F.lower(side), F.lit(TERM), F.lit(0))
-        near = let(words(left), lambda w: F.slice(w, F.greatest(F.size(w) - NEAR_TERMS + 1, F.lit(1)), F.lit(NEAR_TERMS)))
-        terms = F.array_distinct(F.concat(near, F.slice(words(right), 1, NEAR_TERMS)))
-        return F.struct(F.xxhash64(s["kind"], F.lower(s["match"])).alias("entity"), terms.alias("terms"))
 
-    return F.transform(spans, one)
+def _key(text: Column) -> Column:
+    """A text's key: two hashes of 64 bits and its length, so that different texts do not share one."""
+    return F.concat_ws(":", F.xxhash64(text), F.xxhash64(F.lit("second"), text), F.length(text))
 
 
-def _text(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit(""))
+def _tokens(text: Column) -> Column:
+    """The distinct terms of a text outside e-mails, in lower case, and their classes: first three letters or one, and '*'."""
+    plain = F.when(text.rlike(HINTS["email"]), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    words = F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(TERM), F.lit(0)))
+    classes = lambda w, n: F.array_distinct(F.transform(w, lambda x: F.concat(F.substring(x, 1, n), F.lit("*"))))
+    return let(words, lambda w: F.concat(w, classes(w, 3), classes(w, 1)))
 
 
 def found_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """row (a number), doc_id, key (hash of the text), spans and their contexts, written once."""
+    """doc_id, key (of the text), spans and the distinct entities (hashes of kind and value), written once."""
     got = docs.select(F.col(doc_id).alias("doc_id"), _text(F.col(text)).alias("text")).withColumn("spans", base_spans(F.col("text")))
-    return materialize(got.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("key"), "spans", _contexts(F.col("text"), F.col("spans")).alias("contexts")), "spans")
+    entities = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["match"]))))
+    return materialize(got.select("doc_id", _key(F.col("text")).alias("key"), "spans", entities.alias("entities")), "spans")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str) -> DataFrame | None:
-    """term, posterior of the terms that reveal an entity; None when no pair has the support for it."""
-    seen = found.filter(F.size("contexts") > 0).select("row", "key", "contexts")
-    pairs = seen.select("row", "key", F.explode("contexts").alias("c")).select("row", "key", "c.entity", F.explode("c.terms").alias("term")).distinct()
-    counts = pairs.groupBy("entity", "term", "key").count().groupBy("entity", "term").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT)
-    pairs = materialize(counts, "pairs")
-    terms = pairs.select("term").distinct()
-    if not (n_terms := terms.count()):
+    """term, posterior, general (its least general class that is not told; null: none) of the terms that reveal an entity.
+
+    None when no pair has the support for it.
+    """
+    holding = found.filter(F.size("entities") > 0).groupBy("key", "entities").agg(F.count(F.lit(1)).alias("copies"))
+    holding = materialize(holding, "holding")  # a row for each different text
+    place = F.xxhash64("key")
+    halves = [F.sum(place.bitwiseAND(F.lit(0x7FFFFFFF))), F.sum(F.shiftrightunsigned(place, 33))]  # tell sets of texts apart
+    each = holding.select("key", "copies", F.explode("entities").alias("entity"))
+    entities = each.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("df_e"), F.xxhash64(F.count(F.lit(1)), F.sum("copies"), *halves).alias("class"))
+    known = materialize(entities.filter(F.col("texts") >= SUPPORT), "entities")
+    total_e = known.agg(F.sum("texts")).first()[0]
+    if not total_e:
         return None
     rows = found.count()
-    entities = seen.select(F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
-    near = bitmap(terms, F.xxhash64("term"), max(20, n_terms.bit_length() + 4))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(_text(F.col(text))), F.lit(TERM), F.lit(0)))).alias("term"))
-    df_t = near.flag(words, F.xxhash64("term"), "may").filter("may").groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
-    joined = pairs.join(entities, "entity").join(df_t, "term")
+    held = attach(each, known.select("entity", "class", "df_e", "texts"), "entity", "texts", max(total_e, 1)).filter("class is not null")
+    held = materialize(held.select("key", "copies", "class", "df_e").distinct().groupBy("key", "copies").agg(F.collect_list(F.struct("class", "df_e")).alias("classes")), "classes")
+    n_held = held.count()
+    source = docs.select(_text(F.col(text)).alias("text")).withColumn("key", _key(F.col("text")))
+    those = bitmap(held, place, max(20, n_held.bit_length() + 4)).flag(source, place, "may").filter("may")
+    words = those.select("key", F.explode(_tokens(F.col("text"))).alias("term"))
+    near = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SUPPORT)
+    near = materialize(near, "near-terms")
+    n_near = near.count()
+    if not n_near:
+        return None
+    may = bitmap(near, F.xxhash64("term"), max(20, n_near.bit_length() + 4))
+    counted = may.flag(source.select(F.explode(_tokens(F.col("text"))).alias("term")), F.xxhash64("term"), "may").filter("may").groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    most = held.agg(F.max(F.array_max(F.transform("classes", lambda c: c["df_e"])))).first()[0]
+    df_t = materialize(counted.filter((F.col("df_t") >= SUPPORT) & (F.col("df_t") * POSTERIOR <= most)), "term-counts")
+    n_terms, total_t = df_t.agg(F.count(F.lit(1)), F.coalesce(F.sum("df_t"), F.lit(0))).first()
+    if not n_terms:
+        return None
+    rare = bitmap(df_t, F.xxhash64("term"), max(20, n_terms.bit_length() + 4)).flag(words.distinct(), F.xxhash64("term"), "may").filter("may").select("key", "term")
+    rare = attach(rare, df_t, "term", "df_t", max(total_t, 1)).filter("df_t is not null")
+    met = rare.join(held, "key").select("term", "df_t", "copies", F.explode(F.filter("classes", lambda c: c["df_e"] >= POSTERIOR * F.col("df_t"))).alias("c"))
+    pairs = met.groupBy("c.class", "c.df_e", "term", "df_t").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT)
     posterior = F.least(F.lit(1.0), F.col("n") / F.col("df_t"))
     content = -F.log2(F.col("df_e") / F.lit(float(rows)))
-    told = joined.withColumn("posterior", posterior).filter((F.col("posterior") >= POSTERIOR) & (F.log2("posterior") + content >= DISCLOSURE * content) & (content > 0))
-    out = materialize(told.groupBy("term").agg(F.max("posterior").alias("posterior")), "terms")
+    told = pairs.withColumn("posterior", posterior).filter((F.col("posterior") >= POSTERIOR) & (content > 0) & (F.log2("posterior") + content >= DISCLOSURE * content))
+    told = materialize(told.groupBy("term").agg(F.max("posterior").alias("posterior")), "told")
+    classes = told.filter(F.col("term").endswith("*")).select(F.col("term").alias("class"), F.lit(True).alias("is_told"))
+    terms = told.filter(~F.col("term").endswith("*"))
+    general = F.lit(None).cast("string")
+    for n in (1, 3):  # the less general class goes before
+        mark, label = f"told{n}", F.concat(F.substring("term", 1, n), F.lit("*"))
+        terms = terms.withColumn("label", label).join(classes.select(F.col("class").alias("label"), F.col("is_told").alias(mark)), "label", "left").drop("label")
+        general = F.when(F.col(mark).isNull(), label).otherwise(general)
+    out = materialize(terms.select("term", "posterior", general.alias("general")), "terms")
+    for t in (holding, known, held, near, df_t, told):
+        discard(t)
     return out if out.limit(1).count() else None
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
-    """key, terms: the places of disclosing terms in each different text that holds any."""
+    """key, terms: the places of disclosing terms in each different text that holds any; `match` is the term's class."""
     may = bitmap(terms, F.xxhash64("term"), max(20, terms.count().bit_length() + 4))
-    source = docs.select(_text(F.col(text)).alias("text")).withColumn("key", F.xxhash64("text"))
-    words = source.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    keys = materialize(may.flag(words, F.xxhash64("term"), "may").filter("may").join(terms, "term", "left_semi").select("key").distinct(), "term-keys")
-    texts = bitmap(keys, F.col("key"), max(20, keys.count().bit_length() + 4)).flag(source, F.col("key"), "may").filter("may")
-    places = texts.select("key", F.explode(matches(F.col("text"), TERM, "term")).alias("s")).withColumn("term", F.lower("s.match"))
-    places = may.flag(places, F.xxhash64("term"), "may").filter("may").join(terms, "term")
-    span = F.struct(F.when(F.col("posterior") >= REMOVE, "removed").otherwise("generalised").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.match").alias("match"))
-    each = places.groupBy("key", "s.start").agg(F.first(span).alias("span"))
-    return materialize(each.groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("terms")), "term-spans")
+    source = docs.select(_text(F.col(text)).alias("text")).withColumn("key", _key(F.col("text")))
+    places = source.select("key", F.explode(matches(F.col("text"), TERM, "term")).alias("s")).withColumn("term", F.lower("s.match"))
+    places = may.flag(places, F.xxhash64("term"), "may").filter("may").select("key", "s.start", "s.end", "term").distinct()
+    counted = materialize(places, "places")
+    sizes = counted.groupBy("term").agg(F.count(F.lit(1)).alias("size"))
+    met = attach(counted, terms.join(sizes, "term"), "term", "size", counted.count()).filter("posterior is not null")
+    span = F.struct(F.when(F.col("general").isNull(), "removed").otherwise("generalised").alias("kind"), F.col("start"), F.col("end"), F.coalesce("general", F.lit("")).alias("match"))
+    out = materialize(met.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("at"), span.alias("span")))).alias("terms")).select("key", F.transform("terms", lambda t: t["span"]).alias("terms")), "term-spans")
+    discard(counted)
+    return out
+
+
+def _before(values: Column, least: int = -1) -> Callable[[Callable], Column]:
+    """body(f) where f(i) is the largest of the array's values before place i; blocks keep it near linear."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / _BLOCK).cast("int")), lambda k: F.coalesce(F.array_max(F.slice(values, k * _BLOCK + 1, F.lit(_BLOCK))), F.lit(least)))
+
+    def run(body: Callable[[Callable], Column]) -> Column:
+        def with_blocks(b: Column) -> Column:
+            upto = F.transform(b, lambda x, k: F.coalesce(F.array_max(F.slice(b, F.lit(1), k)), F.lit(least)))
+
+            def with_upto(u: Column) -> Column:
+                def at(i: Column) -> Column:
+                    k = F.floor(i / _BLOCK).cast("int")
+                    return F.greatest(F.get(u, k), F.coalesce(F.array_max(F.slice(values, k * _BLOCK + 1, i - k * _BLOCK)), F.lit(least)))
+
+                return body(at)
+
+            return let(upto, with_upto)
+
+        return let(blocks, with_blocks)
+
+    return run
 
 
 def _with_terms(spans: Column, terms: Column) -> Column:
-    """Base spans and then the term spans that touch none of them."""
-    free = lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    return F.concat(spans, F.filter(F.coalesce(terms, F.array().cast(f"array<{SPAN}>")), free))
+    """Base spans and then the term spans that touch none of them; both sorted and each kind without overlaps."""
+    none = F.array().cast(f"array<{SPAN}>")
+    mark = lambda a, base: F.transform(a, lambda s: F.struct(s["start"].alias("start"), F.lit(base).alias("term"), s["end"].alias("end"), s.alias("span")))
+
+    def free(all_: Column) -> Column:
+        size = F.size(all_)
+        ends = F.transform(all_, lambda x: F.when(x["term"] == 0, x["end"]).otherwise(F.lit(-1)))
+        begins = F.transform(F.reverse(all_), lambda x: F.when(x["term"] == 0, -x["start"]).otherwise(F.lit(-(1 << 30))))  # the least start after
+
+        def body(e: Column, b: Column) -> Column:
+            return _before(e)(lambda last: _before(b, -(1 << 30))(lambda next_: F.transform(all_, lambda x, i: F.when((x["term"] == 1) & (last(i) <= x["start"]) & (-next_(size - 1 - i) >= x["end"]), x["span"]))))
+
+        return let(ends, lambda e: let(begins, lambda b: body(e, b)))
+
+    kept = let(F.array_sort(F.concat(mark(spans, 0), mark(terms, 1))), lambda a: F.filter(free(a), lambda s: s.isNotNull()))
+    return F.when(F.coalesce(F.size(terms), F.lit(0)) > 0, F.concat(spans, kept)).otherwise(F.coalesce(spans, none))
 
 
 def _digest(spans: Column) -> Column:
@@ -167,37 +241,79 @@ def pii_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Null texts count as empty and have no span. Repeated rows repeat in the result, null ids stay, an empty table gives
-    no rows, further columns of docs are ignored. Base spans of different kinds may overlap; terms never do.
+    no rows, further columns of docs are ignored. Base spans of different kinds may overlap; terms never do. Texts may be
+    of any length that a row holds: work grows little faster than their spans.
     """
     found = found_spans(docs, doc_id, text)
     terms = disclosing_terms(docs, found, text)
     if terms is None:
         full = found.withColumn("all", F.col("spans"))
     else:
-        full = found.join(term_spans(docs, terms, text), "key", "left").withColumn("all", _with_terms(F.col("spans"), F.col("terms")))
+        places = term_spans(docs, terms, text)
+        may = bitmap(places, F.xxhash64("key"), max(20, places.count().bit_length() + 4)).flag(found, F.xxhash64("key"), "may")
+        hit = may.filter("may").drop("may")
+        sizes = hit.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+        met = attach(hit, places.join(sizes, "key"), "key", "size", found.count())
+        full = may.filter("not may").drop("may").withColumn("all", F.col("spans")).unionByName(met.withColumn("all", _with_terms(F.col("spans"), F.col("terms"))).drop("terms", "size"))
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return full.select("doc_id", *map(n, PATTERNS), F.sha2(_digest(F.col("spans")), 256).alias("base_sha256"), _digest(F.col("all")).alias("spans"))
 
 
+def _pieces(text: Column) -> Callable[[Callable], Column]:
+    """body(f) where f(a, b) is the text from code point a to b; cut from blocks, as substring() counts from the start."""
+    wide = F.greatest(F.lit(4096), F.floor(F.length(text) / 256).cast("int"))
+
+    def run(body: Callable[[Callable], Column]) -> Column:
+        def with_width(w: Column) -> Column:
+            def with_blocks(blocks: Column) -> Column:
+                def piece(a: Column, b: Column) -> Column:
+                    i, j = F.floor(a / w).cast("int"), F.floor(b / w).cast("int")
+                    first = F.substring(F.get(blocks, i), a - i * w + 1, b - a)  # ends with the block
+                    rest = F.concat(F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(F.get(blocks, j), F.lit(1), b - j * w))
+                    return F.when(b <= a, "").when(i == j, first).otherwise(F.concat(first, rest))
+
+                return body(piece)
+
+            return let(F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / w).cast("int")), lambda k: F.substring(text, k * w + 1, w)), with_blocks)
+
+        return let(wide, with_width)
+
+    return run
+
+
 def _masked(text: Column, spans: Column) -> Column:
-    """The text with its spans replaced by their kind in brackets; removed terms leave nothing; overlaps are one."""
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
+    """The text with its spans replaced by their kind, or a term's class, in brackets; removed terms leave nothing.
+
+    Of overlapping spans the one that begins first, the longer of equals, gives the label for all that they cover.
+    """
+    label = lambda s: F.when(s["kind"] == "removed", "").when(s["kind"] == "generalised", F.concat(F.lit("["), s["match"], F.lit("]"))).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
 
-    def step(acc: Column, s: Column) -> Column:
-        label = F.when(s["kind"] == "removed", "").when(s["kind"] == "generalised", "[TERM]").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        more = F.array(F.substring(text, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0))), F.when(s["start"] >= acc["pos"], label).otherwise(""))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["parts"], more).alias("parts"))
+    def put(ordered: Column, ends: Column) -> Column:
+        def with_pieces(piece: Callable) -> Column:
+            def with_last(last: Callable) -> Column:
+                part = lambda x, i: let(F.greatest(last(i), F.lit(0)), lambda at: F.when(x["start"] >= at, F.concat(piece(at, x["start"]), label(x["span"]))).otherwise(""))
+                tail = let(F.array_max(ends), lambda at: piece(at, F.length(text)))
+                return F.concat(F.array_join(F.transform(ordered, part), ""), tail)
 
-    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["pos"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, start, step, rest))
+            return _before(ends)(with_last)
+
+        return _pieces(text)(with_pieces)
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s.alias("span"))))
+    return F.when(F.size(spans) == 0, text).otherwise(let(ordered, lambda o: let(F.transform(o, lambda x: x["span"]["end"]), lambda e: put(o, e))))
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with personal data masked and disclosing terms generalised or removed in `text`; null texts stay null."""
+    """docs with personal data masked and disclosing terms generalised or removed in `text`.
+
+    Null texts stay null, empty ones empty; repeated rows and null ids stay; other columns stay whatever their names; an
+    empty table gives no rows. Texts without spans are not touched.
+    """
     found = found_spans(docs, doc_id, text)
     terms = disclosing_terms(docs, found, text)
-    key, spans, may, known = fresh(docs, "key", "spans", "may", "terms")
+    total = found.count()
+    discard(found)
+    key, spans, may, known, size = fresh(docs, "key", "spans", "may", "terms", "size")
     body = F.col(text).cast("string")
     base = F.when(body.isNull(), F.array().cast(f"array<{SPAN}>")).otherwise(base_spans(_text(F.col(text))))
 
@@ -207,8 +323,10 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     if terms is None:
         return put(docs.withColumn(spans, base))
     places = term_spans(docs, terms, text).select(F.col("key").alias(key), F.col("terms").alias(known))
-    marked = bitmap(places, F.col(key), max(20, places.count().bit_length() + 4)).flag(docs.withColumn(key, F.xxhash64(_text(F.col(text)))), F.col(key), may)
-    hit = marked.filter(F.col(may)).join(places, key, "left").withColumn(spans, base).withColumn(spans, _with_terms(F.col(spans), F.col(known)))
+    marked = bitmap(places, F.xxhash64(key), max(20, places.count().bit_length() + 4)).flag(docs.withColumn(key, _key(_text(F.col(text)))), F.xxhash64(key), may)
+    sizes = marked.filter(F.col(may)).groupBy(key).agg(F.count(F.lit(1)).alias(size))
+    hit = attach(marked.filter(F.col(may)), places.join(sizes, key), key, size, max(total, 1))
+    hit = hit.withColumn(spans, base).withColumn(spans, _with_terms(F.col(spans), F.col(known)))
     return put(marked.filter(~F.col(may)).withColumn(spans, base)).unionByName(put(hit))
 
 

@@ -35,6 +35,41 @@ def spans(text):
     return [(k, m.start(), m.end()) for k, p, ok in KINDS for m in re.finditer(p, text or "") if ok(m.group())]
 
 
+def told(texts, support, posterior, disclosure):
+    """Sorted (term, posterior, least general class that is not told) by counting pairs of entity and term in documents."""
+    held = []
+    for t in texts:
+        words = set(re.findall(r"[^\W\d_]{3,}", re.sub(KINDS[0][1], " ", t).lower()))
+        held.append(({(k, t[a:b].lower()) for k, a, b in spans(t)}, words | {w[:3] + "*" for w in words} | {w[:1] + "*" for w in words}))
+    df_e, df_t = Counter(e for es, _ in held for e in es), Counter(t for _, ts in held for t in ts)
+    n, kinds = Counter((e, t) for es, ts in held for e in es for t in ts), {}
+    for text, (es, ts) in zip(texts, held, strict=True):
+        for e in es:
+            for t in ts:
+                kinds.setdefault((e, t), set()).add(text)
+    out = {}
+    for (e, t), k in n.items():
+        p, content = min(1.0, k / df_t[t]), -np.log2(df_e[e] / len(texts))
+        if len(kinds[e, t]) >= support and p >= posterior and content > 0 and np.log2(p) + content >= disclosure * content - 1e-12:
+            out[t] = max(out.get(t, 0), p)
+    return sorted((t, p, next((c for c in (t[:3] + "*", t[:1] + "*") if c not in out), None)) for t, p in out.items() if t[-1] != "*")
+
+
+def sanitised(text, general):
+    """The text without overlaps of kinds: base spans by their kind, told terms outside them by their class."""
+    if text is None:
+        return None
+    base = spans(text)
+    marks = [(a, b, f"[{k.upper()}]") for k, a, b in base]
+    for m in re.finditer(r"[^\W\d_]{3,}", text):
+        if m[0].lower() in general and not any(a < m.end() and m.start() < b for _, a, b in base):
+            g = general[m[0].lower()]
+            marks.append((m.start(), m.end(), f"[{g}]" if g else ""))
+    for a, b, label in sorted(marks, reverse=True):
+        text = text[:a] + label + text[b:]
+    return text
+
+
 def fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     if not words:

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -29,7 +30,8 @@ def test_disclosing_terms(spark):
     rows += [(100, "Zorblax is mentioned alone."), (101, None)] + [(200 + i, "contact filler text at today for item stuff other") for i in range(100)]
     docs = brute.frame(spark, rows)
     got = {r["doc_id"]: r["spans"] for r in pii.pii_spans(docs).collect()}
-    assert "email" in got[0] and got[0].count("removed") + got[0].count("generalised") == 2 and got[100].startswith(("removed:0:7", "generalised:0:7")) and not got[101] and not got[200]
+    assert "email" in got[0] and got[0].count("removed") + got[0].count("generalised") == 3 and "0:4" in got[0]  # "word" stands in no other document
+    assert got[100].startswith(("removed:0:7", "generalised:0:7")) and not got[101] and not got[200]
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert "Zorblax" not in clean[0] + clean[100] and "[EMAIL]" in clean[0] and clean[101] is None and clean[200] == rows[-1][1]
     assert pii.sanitise(docs).columns == docs.columns and pii.pii_spans(docs.limit(0)).count() == 0
@@ -45,7 +47,42 @@ def test_copies_do_not_change_disclosing_terms(spark):
         return sorted(map(tuple, terms.collect()))
 
     alone = found([])
-    assert [t for t, _ in alone] == ["quimby", "zorblax"] and found([(1000 + i, rows[0][1]) for i in range(60)]) == alone
+    assert [t for t, *_ in alone] == ["quimby", "word", "zorblax"] and found([(1000 + i, rows[0][1]) for i in range(60)]) == alone
+
+
+def test_told_terms_match_brute_force(spark):
+    """Terms, posteriors and classes over whole documents, with copies, several entities and terms that are no one's alone."""
+    rnd = random.Random(6)
+    names = ["xyloph", "zorblax", "quimby", "zorro", "zebra", "anders", "andere", "anton", "bert", "berta"]
+    rows = []
+    for i in range(240):
+        words = rnd.choices(["the", "sea", "and", "hill", "zinc", "and", "bee", "ant"], k=6) + [rnd.choice(names) for _ in range(2)]
+        mails = [f"{n}@x.org" for n in ("xyloph", "zorblax", "anders", "berta") if n in words] + ["all@x.org"] * (i % 40 == 0)
+        rows.append((i, " ".join(words + mails + [f"q{i}"])))
+    rows += [(1000 + i, rows[7][1]) for i in range(80)] + [(2000, None), (2001, "")]
+    docs = brute.frame(spark, rows)
+    found = pii.found_spans(docs, "doc_id", "text")
+    got = sorted(map(tuple, pii.disclosing_terms(docs, found, "text").collect()))
+    want = brute.told([t or "" for _, t in rows], pii.SUPPORT, pii.POSTERIOR, pii.DISCLOSURE)
+    assert [(t, g) for t, _, g in got] == [(t, g) for t, _, g in want] and [p for _, p, _ in got] == pytest.approx([p for _, p, _ in want])
+    assert any(g for _, _, g in got) and any(not g for _, _, g in got)  # both ways of sanitising
+    texts_ = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    general = {t: g for t, _, g in got}
+    for i, t in rows:
+        assert texts_[i] == brute.sanitised(t, general)
+
+
+def test_very_many_spans_in_a_text(spark):
+    """100,000 addresses and thousands of told terms in each of three texts."""
+    body = " ".join(f"u{i}@x.org" for i in range(100_000))
+    rows = [(i, f"{body} {chr(97 + i) * 4} " + " ".join(f"zz{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{chr(97 + j // 676)}" for j in range(3000))) for i in range(3)]
+    rows += [(100 + i, f"plain text number {i}") for i in range(40)]
+    began = time.perf_counter()
+    got = {r["doc_id"]: (r["n_email"], r["spans"].count("removed")) for r in pii.pii_spans(brute.frame(spark, rows)).collect()}
+    masked = pii.sanitise(brute.frame(spark, rows[2:3])).first()["text"]
+    assert got[0] == got[1] == got[2] == (100_000, 3000) and got[100] == (0, 0)
+    assert masked.startswith("[EMAIL] [EMAIL] ") and masked.count("[EMAIL]") == 100_000 and "cccc zzaaa" in masked
+    assert time.perf_counter() - began < 90
 
 
 def test_masking_of_overlaps(spark):
