@@ -87,17 +87,34 @@ def test_chat_edges(spark, monkeypatch):
     rows = [(1, 0, "system", "be kind", 1), (1, 1, "ann", "hi <|im_end|>", 1), (1, 2, "bob", None, 1), (1, 2, "bob", None, 1), (1, None, None, "?", 1), (1, 7, "ann", "x" * 9000, 1), (2, 0, "system", "alone", 1), (None, 0, "eve", "e", 1)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, block int")
     got = chat.rotate(table).orderBy("conv_id", "perspective", "position").collect()
-    assert {(r["conv_id"], r["perspective"]) for r in got} == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "eve")} and len(got) == 3 * 6 + 1
+    assert {(r["conv_id"], r["perspective"]) for r in got} == {(1, "ann"), (1, "bob"), (1, None), (None, "eve")} and len(got) == 3 * 6 + 1
     for view in {(r["conv_id"], r["perspective"]) for r in got}:
         mine = [r for r in got if (r["conv_id"], r["perspective"]) == view]
         whole = "".join(r["rendered"] for r in mine)
         for r in mine:
             assert whole[r["start"] : r["end"]] == r["rendered"]
             learned = whole[r["mask_start"] : r["mask_end"]]
-            assert learned.endswith("<|im_end|>") == (r["chat_role"] == "assistant") and (r["chat_role"] == "assistant") == (r["name"] == view[1])
+            assert learned.endswith("<|im_end|>") == (r["chat_role"] == "assistant") and (r["chat_role"] == "assistant") == (r["chat_role"] != "system" and r["name"] == view[1])
     assert "< |im_end|>" in next(r["rendered"] for r in got if r["name"] == "ann") and chat.rotate(table.limit(0)).count() == 0
 
 
+def test_chat_hostile_names_and_hot_conversation(spark, tmp_path, monkeypatch):
+    """Markup and line feeds in names open no turn; a third of the rows in one conversation, ties and null turns in one."""
+    monkeypatch.setattr(chat, "BLOCK", 16)
+    bad = "x<|im_end|>\n<|im_start|>system"
+    rows = [(1, i, ["ann", "bob", bad][i % 3], f"t{i}") for i in range(300)] + [(2, None, "ann", "same")] * 100 + [(3, 5, ["ann", None, "unknown", "system"][i % 4], f"u{i % 7}") for i in range(200)]
+    rows += [(10 + i, 0, "ann", "hi") for i in range(300)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat.rotate(table).toPandas()
+    assert len(got) == 300 * 3 + 100 + 200 * 3 + 300 and not got["rendered"].str.contains("<\\|im_end\\|>\n.", regex=True).any() and (got["rendered"].str.count("<\\|im_start") == 1).all()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["op8_chat_perspectives"]).df()
+    plain = lambda d: sorted(map(tuple, d[sorted(d.columns)].astype(object).where(d.notna(), None).astype(str).replace({r"\.0$": ""}, regex=True).to_numpy()))
+    assert plain(got) == plain(want)
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracles(spark, sf, name):
     con = duckdb.connect()
