@@ -25,7 +25,8 @@ ARROW_ROWS = 512
 
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of at most ARROW_ROWS rows in this session: a batch of texts is held several times over, on and off
-    the executor's heap. A smaller setting of the user's stays."""
+    the executor's heap. A smaller setting of the user's stays. It is not set back: results are computed when their
+    reader asks for them, and until then the setting must hold."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
@@ -101,23 +102,29 @@ def bitmap(df: DataFrame, at: Column, log_bits: int, place: Callable[[Column], C
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of undirected `edges` (a, b: any comparable type): node, root = smallest node reachable.
 
-    Each round every node takes the smallest root among its neighbours' and then its root's root, so that the number of
-    rounds grows with the logarithm of the longest path. Rounds are cut by tables in the shared folder. An empty edge
-    table gives an empty result.
+    Each round every node sees the smallest root among its neighbours'; it and its own root hook onto that one, and then
+    everyone takes the root of its root. Roots that see a smaller one thus at least halve in number, and the rounds grow
+    with the logarithm of the nodes. Rounds are cut by tables in the shared folder; nodes with very many neighbours and
+    roots of very many nodes are joined by broadcast (see attach). An empty edge table gives an empty result.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{label}-edges")
-    state = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), label)
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct().withColumnRenamed("b", "node"), f"{label}-edges")
+    first = both.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.least(F.first("node"), F.min("a")).alias("root"))
+    state = materialize(first, label)
+    links, nodes = both.count(), state.count()
     while True:
-        seen = both.join(state, both.b == state.node).groupBy("a").agg(F.min("root").alias("near"))
-        step = state.join(seen, state.node == seen.a, "left").select("node", F.least("root", F.coalesce("near", "root")).alias("next"), F.col("root").alias("was"))
+        seen = attach(both, state, "node", "degree", links).groupBy("a").agg(F.min("root").alias("near"))
+        met = state.join(seen, state.node == seen.a).select("node", "degree", F.least("root", "near").alias("near"), "root")
+        met = materialize(met, f"{label}-met")
+        hooks = met.groupBy("root").agg(F.min("near").alias("to"), F.count(F.lit(1)).alias("size"))
+        step = attach(met, hooks, "root", "size", nodes).select("node", "degree", F.least("near", "to").alias("next"), F.col("root").alias("was"))
         step = materialize(step, f"{label}-step")
-        up = step.select(F.col("node").alias("at"), F.col("next").alias("above"))
-        jumped = step.join(up, step.next == up.at, "left").select("node", F.least("next", F.coalesce("above", "next")).alias("root"), "was")
-        new = materialize(jumped, label)
+        sizes = step.groupBy("next").agg(F.count(F.lit(1)).alias("size"))
+        up = sizes.join(step.select(F.col("node").alias("next"), F.col("next").alias("above")), "next")
+        new = materialize(attach(step, up, "next", "size", nodes).select("node", "degree", F.least("next", F.coalesce("above", "next")).alias("root"), "was"), label)
         changed = new.filter(F.col("root") != F.col("was")).limit(1).count()
-        discard(step)
-        discard(state)
-        state = new.select("node", "root")
+        for t in (met, step, state):
+            discard(t)
+        state = new.drop("was")
         if not changed:
             discard(both)
-            return state
+            return state.select("node", "root")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, bitmap, bound_batches, components, fresh, load, materialize
+from .common import attach, bitmap, bound_batches, components, discard, fresh, load, materialize
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
 #: Buckets of up to so many distinct fingerprints are compared pair by pair.
@@ -60,15 +60,16 @@ def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> DataFra
 
 def links(nodes: DataFrame, fp: str = "fp") -> DataFrame:
     """Edges a, b between distinct fingerprints that connect exactly those within DISTANCE bits, directly or by others."""
-    blocks = [F.shiftrightunsigned(F.col(fp), 48 - 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = [F.struct(F.lit(k).alias("k"), F.shiftleft(blocks[i], 16).bitwiseOR(blocks[j]).alias("v")) for k, (i, j) in enumerate(combinations(range(4), 2))]
-    keyed = nodes.select(F.col(fp).alias("fp"), F.explode(F.array(*keys)).alias("key")).select("fp", "key.k", "key.v")
-    counts = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialize(keyed.join(counts, ["k", "v"]), "blocks")
+    blocks = [F.shiftrightunsigned(F.col(fp), 48 - 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")) for i in range(4)]
+    keys = [F.lit(k << 32).bitwiseOR(F.shiftleft(blocks[i], 16)).bitwiseOR(blocks[j]) for k, (i, j) in enumerate(combinations(range(4), 2))]
+    keyed = nodes.select(F.col(fp).alias("fp"), F.explode(F.array(*keys)).alias("key"))
+    counts = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "block-sizes")
+    shared = materialize(attach(keyed, counts, "key", "n", 6 * nodes.count()).filter("n is not null"), "blocks")
+    discard(counts)
     few = shared.filter(F.col("n") <= BUCKET)
     a, b = few.alias("a"), few.alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= DISTANCE
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.fp") < F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     hubs = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)]]
     many = shared.filter(F.col("n") > BUCKET).select("fp").distinct().select("fp", F.explode(F.array(*hubs)).alias("hub"))
     stars = many.groupBy("hub").agg(F.array_sort(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)  # at most 65 in each
@@ -100,7 +101,9 @@ def _components(fps: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay: of each component the row with the smallest doc_id, with all its columns.
 
-    Texts are not shuffled but for rows that a bitmap of bounded size flags as possibly dropped.
+    Texts are not shuffled but for rows that a bitmap of bounded size flags as possibly dropped. Null and wordless texts
+    are one group, as near_groups() says, and null ids come last; of rows repeating the smallest id exactly one stays.
+    Texts may be of any length that a row holds; other columns stay whatever their names; an empty table gives no rows.
     """
     uid, fp, may = fresh(docs, "uid", "fp", "may")
     source = docs.withColumn(uid, F.monotonically_increasing_id())

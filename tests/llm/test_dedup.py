@@ -76,3 +76,19 @@ def test_near_dedup_of_nothing_and_of_copies(spark):
     assert near_dedup.near_groups(docs.limit(0)).count() == 0
     twice = brute.frame(spark, [(1, "q"), (1, "q")])
     assert near_dedup.near_groups(twice).count() == 2 and near_dedup.near_dedup(twice).count() == 1
+
+
+@pytest.mark.parametrize("order", ["far", "up", "mixed"])
+def test_components_of_a_long_chain(spark, order, monkeypatch):
+    n, rounds = 2048, []
+    ids = {"far": [0, *range(n - 1, 0, -1)], "up": list(range(n)), "mixed": sorted(range(n), key=lambda i: i * 2654435761 % n)}[order]
+    write = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, label: rounds.append(label) or write(df, label))
+    monkeypatch.setattr(common, "HOT_LEAST", 50)  # so that hot roots are split
+    got = common.components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long"))
+    assert got.filter("root = 0").count() == n and sum(r.endswith("-step") for r in rounds) <= 15
+
+
+def test_stages_on_empty_tables(spark):
+    docs = brute.frame(spark, [(1, "a")]).limit(0)
+    assert near_dedup.near_dedup(docs).collect() == [] and near_dedup.near_dedup(docs).columns == docs.columns
