@@ -2,9 +2,12 @@
 
 Trees are fitted on a bounded sample: a node splits its points at the median along a random direction. Every row of the
 table is indexed in every tree. A query walks all trees through one priority queue, ordered by the largest margin on
-the way to a branch, until the leaves that it reached hold BUDGET of the rows; then all rows of those leaves are
-compared exactly, in double precision. Leaves are cut into blocks, so that no task holds more than BLOCK rows and
-QUERIES queries of one leaf at a time, however many vectors are alike.
+the way to a branch, until the leaves that it reached hold BUDGET of the rows; then the rows of those leaves, and no
+others, are compared exactly, in double precision.
+
+Vectors are never shuffled. Queries are dealt to groups of about QUERIES; a group, with the leaves that its queries
+reached, is broadcast, and every task reranks those of its rows that stand in a reached leaf, tile by tile. Each task
+sends the k best for a query, and these are merged in two stages.
 
 The budget is a share of the rows because nothing less is right for vectors without structure: see the README for the
 recall that was measured.
@@ -13,11 +16,12 @@ recall that was measured.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +31,8 @@ from .common import load, materialize
 SAMPLE, TREES, LEAF = 8192, 16, 64
 #: Share of the rows, counted as often as they are met, that a query's leaves must hold.
 BUDGET = 1.8
-BLOCK, QUERIES, SEED = 4096, 1024, 11
+#: Rows compared at a time; queries broadcast at a time, about (each some 1.5 kB at 64 dimensions); stages of the merge.
+BLOCK, QUERIES, MERGE, SEED = 8192, 8192, 64, 11
 
 
 @dataclass
@@ -101,80 +106,127 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def nearest(vectors: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", queries: Column | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query (all others if fewer), by Euclidean distance.
 
-    queries: which rows are queries; by default those whose id is divisible by 100. Ties go to the smaller id. Rows that
-    are null, zero, or hold null or non-finite components take no part, nor do rows with a null id or another than the
-    most frequent dimension; of rows repeating an id the one with the smallest vector stands for all. An empty table
-    gives no rows.
+    queries: which rows are queries, as a condition on `id`; by default those whose id is divisible by 100. Ties go to
+    the smaller id. Rows that are null, zero, or hold null or non-finite components take no part, nor do rows with a null
+    id. Rows of another dimension have no distance: each dimension that queries have is searched by itself. Rows that
+    repeat an id are candidates like any other, also for each other, and each is a query of its own. Other columns are
+    ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    named = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
-    rows = named.filter(F.col("id").isNotNull() & _valid(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
-    rows = materialize(rows, "vectors")
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    total = sizes[0]["count"]
-    rows = rows.filter(F.size("v") == sizes[0]["d"])
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit("forest"), "id"), F.lit(1_000_000)) / 1e6 < min(1.0, SAMPLE / total)).orderBy("id").select("v").toArrow()
-    sample = _matrix(drawn["v"]) if drawn.num_rows else np.zeros((0, sizes[0]["d"]))
+    named = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("v"), F.monotonically_increasing_id().alias("uid"))
+    rows = materialize(named.filter(F.col("id").isNotNull() & _valid(F.col("v"))), "vectors")
+    wanted = F.col("id") % 100 == 0 if queries is None else queries
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(wanted, 1).otherwise(0)).alias("asked")).filter("asked > 0").orderBy("d").collect()
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in sizes:
+        out = out.unionByName(_search(rows.filter(F.size("v") == r["d"]), r["d"], r["n"], r["asked"], k, wanted))
+    return out
+
+
+def _search(rows: DataFrame, dimension: int, total: int, asking: int, k: int, wanted: Column) -> DataFrame:
+    """nearest() for the `total` rows of one dimension: id, v, uid."""
+    spark = rows.sparkSession
+    drawn = rows.filter(F.pmod(F.xxhash64(F.lit("forest"), "uid"), F.lit(1_000_000)) / 1e6 < min(1.0, SAMPLE / total)).orderBy("id", "v").select("v").toArrow()
+    sample = _matrix(drawn["v"]) if drawn.num_rows else np.zeros((0, dimension))
     rng = np.random.default_rng(SEED)
     forest = spark.sparkContext.broadcast([grow(sample, rng) for _ in range(TREES)])
-    trees = forest.value
+    first = np.cumsum([0, *(tr.leaves for tr in forest.value)])  # the number of each tree's first leaf
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(1))
-            leaves = np.stack([tr.leaf_of(x) for tr in forest.value], 1).astype(np.int32)
+            leaves = np.stack([tr.leaf_of(x) + at for tr, at in zip(forest.value, first, strict=False)], 1).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, leaves.size + 1, TREES, dtype=np.int32)), pa.array(leaves.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=["id", "v", "leaves"])
-
-    placed = materialize(rows.mapInArrow(index, "id long, v array<double>, leaves array<int>"), "index")
-    each = placed.select("id", "v", F.posexplode("leaves").alias("tree", "leaf"))
-    held = each.groupBy("tree", "leaf").count().collect()  # at most TREES * SAMPLE / (LEAF / 2) leaves
-    counts = [np.zeros(tr.leaves, np.int64) for tr in trees]
-    for r in held:
-        counts[r["tree"]][r["leaf"]] = r["count"]
-    asked = placed.filter(F.col("id") % 100 == 0 if queries is None else queries).select("id", "v")
-    blocks = F.array(*[F.lit(c).cast("int") for c in (-(-np.concatenate(counts) // BLOCK)).tolist()])
-    starts = F.array(*[F.lit(int(s)) for s in np.cumsum([0, *(len(c) for c in counts[:-1])])])
-    in_blocks = F.get(blocks, F.get(starts, F.col("tree")) + F.col("leaf"))
-    groups = max(1, -(-asked.count() // QUERIES))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=["id", "v", "uid", "leaves"])
+
+    kind = rows.schema["v"].dataType.simpleString()
+    placed = materialize(rows.mapInArrow(index, f"id long, v {kind}, uid long, leaves array<int>"), "index")
+    held = np.zeros(first[-1], np.int64)
+    for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():  # at most TREES * SAMPLE / (LEAF / 2) leaves
+        held[r["leaf"]] = r["count"]
+    counts = [held[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    groups = max(1, -(-asking // QUERIES))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                paths = [visit(forest.value, counts, q, BUDGET * total, k + 1) for q in _matrix(part.column(1))]
-                take = pa.array(np.repeat(np.arange(len(paths)), [len(p) for p in paths]))
-                tree, leaf = (pa.array([x[j] for p in paths for x in p], pa.int32()) for j in (0, 1))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), tree, leaf], names=["id", "v", "tree", "leaf"])
-
-    sent = asked.mapInArrow(walk, "id long, v array<double>, tree int, leaf int").withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)))
-    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), in_blocks - 1))) if max(int(c.max(initial=0)) for c in counts) > BLOCK else sent.withColumn("block", F.lit(0))
-    there = each.withColumn("block", F.pmod(F.xxhash64("id"), in_blocks).cast("int"))
-    there = there.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))) if groups > 1 else there.withColumn("group", F.lit(0).cast("long"))
-
-    def rerank(asking: pa.Table, having: pa.Table) -> pa.Table:
-        ids, x = having["id"].to_numpy(), _matrix(having["v"])
-        names, q = asking["id"].to_numpy(), _matrix(asking["v"])
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(ids) and len(names):
-            near = (x**2).sum(1)[None, :] - 2 * q @ x.T + (q**2).sum(1)[:, None]
-            near[names[:, None] == ids[None, :]] = np.inf
-            cut = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
-            for n, v, d, c in zip(names, q, near, cut, strict=True):
-                at = np.flatnonzero((d <= c + 1e-9 * (1 + abs(c))) & (d < np.inf))  # rounding of `near` loses no tie
-                exact = np.sqrt(((x[at] - v) ** 2).sum(1))
-                at = at[best] if len(best := np.lexsort((ids[at], exact))[:k]) else at[:0]
-                found.append((np.full(len(at), n), ids[at], exact[best]))
-        columns = [np.concatenate(c) if found else np.zeros(0) for c in (zip(*found, strict=True) if found else ((), (), ()))]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
-
-    key = ["tree", "leaf", "block", "group"]
-    best = sent.groupBy(*key).cogroup(there.groupBy(*key)).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    once = best.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = once.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("top"))  # at most k for each leaf block met
-    return ranked.select("query_id", F.posexplode("top").alias("rank", "n")).select("query_id", (F.col("rank") + 1).alias("rank"), "n.vec_id", "n.score")
+            reached = []
+            for q in _matrix(b.column(1)):
+                on = np.zeros(first[-1], bool)
+                on[[first[t] + leaf for t, leaf in visit(forest.value, counts, q, BUDGET * total, k + 1)]] = True
+                reached.append(np.packbits(on).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(reached, pa.binary())], names=["id", "v", "uid", "reached"])
+
+    asked = placed.filter(wanted).select("id", "v", "uid").mapInArrow(walk, f"id long, v {kind}, uid long, reached binary")
+    asked = materialize(asked.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(groups))), "queries")
+    found = None
+    for g in range(groups):
+        some = asked.filter(F.col("part") == g).toArrow().sort_by("uid")
+        if some.num_rows:
+            best = placed.select("id", "v", "uid", "leaves").mapInArrow(_rerank(spark, some, first[-1], k), "asking long, query_id long, stage int, vec_id long, score double")
+            best = materialize(best, "best") if groups > 1 else best
+            found = best if found is None else found.unionByName(best)
+    top = lambda df, *key: df.groupBy(*key).agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("top"))
+    staged = top(found, "asking", "query_id", "stage").select("asking", "query_id", F.explode("top").alias("n")).select("asking", "query_id", "n.*")
+    return top(staged, "asking", "query_id").select("query_id", F.posexplode("top").alias("rank", "n")).select("query_id", (F.col("rank") + 1).alias("rank"), "n.vec_id", "n.score")
+
+
+def _rerank(spark: SparkSession, asked: pa.Table, leaves: int, k: int) -> Callable:
+    """The task that finds the k best of its rows for each of the queries `asked`, among rows in leaves they reached."""
+    reached = np.unpackbits(np.frombuffer(b"".join(asked["reached"].to_pylist()), np.uint8).reshape(asked.num_rows, -1), axis=1)[:, :leaves]
+    shared = spark.sparkContext.broadcast((asked["uid"].to_numpy(), asked["id"].to_numpy(), _matrix(asked["v"]), np.packbits(reached.T, axis=1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uids, ids, q, packed = shared.value
+        on = np.unpackbits(packed, axis=1)[:, : len(uids)]  # leaves x queries
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(uids)
+        bound, norm = np.full(len(uids), np.inf), (q**2).sum(1)
+
+        def tile(held: list[pa.RecordBatch]) -> None:
+            table = pa.Table.from_batches(held)
+            names, x, own = table["id"].to_numpy(), _matrix(table["v"]), table["uid"].to_numpy()
+            at_leaf = np.array(table["leaves"].combine_chunks().flatten()).reshape(len(own), -1)
+            squares = (x**2).sum(1)
+            for a in range(0, len(uids), 256):
+                b = min(a + 256, len(uids))
+                met = np.zeros((len(own), b - a), np.uint8)
+                for t in range(at_leaf.shape[1]):
+                    met |= on[at_leaf[:, t], a:b]
+                some = np.flatnonzero(met.any(1))
+                if not len(some):
+                    continue
+                near = squares[some][None, :] - 2 * q[a:b] @ x[some].T + norm[a:b, None]
+                near[met[some].T == 0] = np.inf
+                near[uids[a:b, None] == own[some][None, :]] = np.inf
+                kth = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
+                cut = np.minimum(kth, bound[a:b])
+                for i in np.flatnonzero((near <= (cut + 1e-9 * (1 + np.abs(cut)))[:, None]).any(1)):
+                    c = cut[i]
+                    at = some[(near[i] <= c + 1e-9 * (1 + abs(c))) & (near[i] < np.inf)]  # rounding of `near` loses no tie
+                    far, who = best[a + i]
+                    far = np.concatenate((far, np.sqrt(((x[at] - q[a + i]) ** 2).sum(1))))
+                    who = np.concatenate((who, names[at]))
+                    order = np.lexsort((who, far))[:k]
+                    best[a + i] = far[order], who[order]
+                    if len(order) == k:
+                        bound[a + i] = far[order[-1]] ** 2
+
+        held, n = [], 0
+        for b in batches:
+            for i in range(0, b.num_rows, BLOCK):
+                held.append(b.slice(i, BLOCK))
+                n += held[-1].num_rows
+                if n >= BLOCK:
+                    tile(held)
+                    held, n = [], 0
+        if n:
+            tile(held)
+        size = np.array([len(w) for _, w in best])
+        stage = TaskContext.get().partitionId() % MERGE
+        columns = [np.repeat(uids, size), np.repeat(ids, size), np.full(size.sum(), stage, np.int32), np.concatenate([w for _, w in best]), np.concatenate([f for f, _ in best])]
+        if size.sum():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["asking", "query_id", "stage", "vec_id", "score"])
+
+    return run
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ def test_neighbours(spark, block, monkeypatch):
     x = rng.normal(size=(900, 8)).astype(np.float32)
     x[300:600] = x[0]  # a third alike
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    odd = [(2000, None, 1), (2100, [0.0] * 8, 1), (2200, [float("nan")] * 8, 1), (2300, [1.0, None] * 4, 1), (2400, [1.0], 1), (None, [1.0] * 8, 1), (5, x[5].tolist(), 1)]
+    odd = [(2000, None, 1), (2100, [0.0] * 8, 1), (2200, [float("nan")] * 8, 1), (2300, [1.0, None] * 4, 1), (2401, [1.0], 1), (None, [1.0] * 8, 1)]
     table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, leaves int")
     got = {}
     for r in neighbours.nearest(table).orderBy("query_id", "rank").collect():
@@ -76,6 +76,12 @@ def test_neighbours(spark, block, monkeypatch):
     assert all(s == dict(want[q])[i] for q in want for i, s in got[q] if i in dict(want[q]))
 
 
+def test_neighbours_of_repeated_ids_and_dimensions(spark):
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.5]), (7, [1.0, 0.25]), (7, [2.0, 0.0]), (200, [1.0]), (3, [4.0])]
+    got = sorted(map(tuple, neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == [(100, 1, 7, 0.25), (100, 1, 7, 0.25), (100, 2, 100, 0.5), (100, 2, 100, 0.5), (100, 3, 7, 1.0), (100, 3, 7, 1.25**0.5), (200, 1, 3, 3.0)]
+
+
 def test_neighbours_of_few(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r["vec_id"]) for r in neighbours.nearest(table).orderBy("rank").collect()] == [(1, 2), (2, 1)]
