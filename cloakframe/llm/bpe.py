@@ -14,17 +14,18 @@ import heapq
 import json
 import mmap
 import re
-import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, load
+from .common import bound_batches, discard, load, materialize, scratch
 
 #: Words in the transducer, at most, and the longest of them in bytes.
 LEXICON, LONGEST = 65_536, 48
@@ -255,12 +256,10 @@ class Transducer:
 
 
 class Lexicon:
-    """A transducer's flat form, memory-mapped; looks up many words at a time."""
+    """A transducer's flat form, memory-mapped from a file that all tasks of an executor share; looks up many words at a time."""
 
-    def __init__(self, layout: bytes):
-        with tempfile.TemporaryFile() as f:  # has no name: it goes with the mapping
-            f.write(layout)
-            f.flush()
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         self.start, *sizes = np.frombuffer(self.map, np.int64, 5).tolist()
         at, parts = 40, []
@@ -293,8 +292,8 @@ class Lexicon:
 class Encoder:
     """Encodes texts to little-endian 32-bit ids; made once a task."""
 
-    def __init__(self, vocabulary: Vocabulary, layout: bytes | None = None):
-        self.v, self.lexicon = vocabulary, Lexicon(layout) if layout else None
+    def __init__(self, vocabulary: Vocabulary, lexicon: str | None = None):
+        self.v, self.lexicon = vocabulary, Lexicon(lexicon) if lexicon else None
         self.memo: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.marks = re.compile("|".join(map(re.escape, sorted(vocabulary.added, key=len, reverse=True))) or r"(?!)")
@@ -406,7 +405,10 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", most: int = LEXICON) -> list[bytes]:
-    """The `most` most frequent words of all documents, counted over all of them; ties by the word."""
+    """The most frequent words of all documents, counted over all of them: every word from a least count on, `most` at most.
+
+    The least count comes from a histogram of counts, so that no task sorts words and no more than `most` reach the driver.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def sent(encoder: Encoder, seen: Counter) -> pa.RecordBatch:
@@ -428,8 +430,17 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
             yield sent(encoder, seen)
 
     counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word binary, n long")
-    top = counted.filter(F.length("word").between(2, LONGEST)).groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(most)
-    return [bytes(r["word"]) for r in top.select("word").toLocalIterator()] if most else []
+    counted = counted.filter(F.length("word").between(2, LONGEST)).groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    counted = materialize(counted.withColumn("step", F.floor(F.log2(F.col("n")) * 16).cast("int")), "words")
+    held, least = 0, None
+    for r in counted.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 16 steps for each doubling of n
+        held += r["count"]
+        if held > most:
+            break
+        least = r["step"]
+    words = [bytes(w) for w in counted.filter(F.col("step") >= least).select("word").toArrow()["word"].to_pylist()] if least is not None else []
+    discard(counted)
+    return words
 
 
 def lexicon(words: list[bytes], vocabulary: Vocabulary) -> bytes:
@@ -437,21 +448,33 @@ def lexicon(words: list[bytes], vocabulary: Vocabulary) -> bytes:
     return Transducer(words, dict(zip(words, vocabulary.encode(words), strict=True))).layout()
 
 
+def distribute(spark: SparkSession, layout: bytes) -> str:
+    """Puts a lexicon in the shared folder and has Spark fetch it once to every executor, new ones too; its file name."""
+    path = scratch(spark, "lexicon")
+    system, at = fs.FileSystem.from_uri(path)
+    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(at) as out:
+        out.write(layout)
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[1]
+
+
 def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids (array of int).
 
     Ids are those of the tokenizer file at `path` without special tokens; they are decoded again with all tokens kept.
-    Null texts count as empty and have no ids. Repeated rows and null ids stay; an empty table gives no rows.
+    Null texts count as empty and have no ids. Repeated rows and null ids stay, other columns are ignored, an empty table
+    gives no rows. A text of any length is encoded whole; a batch holds its chunks and ids, some ten times its size.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     vocabulary = Vocabulary.read(path)
-    layout = spark.sparkContext.broadcast(lexicon(frequent_words(docs, vocabulary, text), vocabulary))
+    file = distribute(spark, lexicon(frequent_words(docs, vocabulary, text), vocabulary))
     shared = spark.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, layout.value)
+        encoder = Encoder(shared.value, SparkFiles.get(file))
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             for i in range(0, batch.num_rows, TOGETHER):

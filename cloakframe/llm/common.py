@@ -38,7 +38,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
+    """A path in the shared folder that nothing else uses, as a URI or an absolute path."""
     return f"{shared_dir(spark)}/cloakframe-{label}-{uuid.uuid4().hex}"
 
 

@@ -104,10 +104,15 @@ def texts():
     return [*made, "a" * 3000, "ab" * 5000, "", " ", "  ", "\n", "^\nfoo", " ^\nfoo", "!x", "=x", "<|endoftext|>", "x <|endoftext|> y"]
 
 
-def test_encoder_is_exact(tokenizer):
+def on_disk(tmp_path, layout):
+    (tmp_path / "lexicon").write_bytes(layout)
+    return str(tmp_path / "lexicon")
+
+
+def test_encoder_is_exact(tokenizer, tmp_path):
     vocabulary, library = tokenizer
     words = [b" the", b" th", b"the", b" a", b"abc"]
-    encoder = bpe.Encoder(vocabulary, None if vocabulary.lower else bpe.lexicon(words, vocabulary))
+    encoder = bpe.Encoder(vocabulary, None if vocabulary.lower else on_disk(tmp_path, bpe.lexicon(words, vocabulary)))
     for t, got in zip(texts(), encoder.encode(texts()), strict=True):
         ids = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(got, "<u4").tolist() == ids
@@ -115,16 +120,16 @@ def test_encoder_is_exact(tokenizer):
             assert encoder.decode(got) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_transducer_is_minimal_and_exact():
+def test_transducer_is_minimal_and_exact(tmp_path):
     words = [b"", b"tap", b"taps", b"top", b"tops", b"stop", b"stops", bytes(range(1, 40))]
     words = [w for w in words if w]
     made = bpe.Transducer(words, {w: np.array([i, i + 1], "<u4").tobytes() for i, w in enumerate(words)})
-    lexicon = bpe.Lexicon(made.layout())
+    lexicon = bpe.Lexicon(on_disk(tmp_path, made.layout()))
     probe = [*words, b"ta", b"tapss", b"x", b"s", b"a" * 100]
     numbers = lexicon.look(probe).tolist()
     assert [lexicon.bytes_of(n) for n in numbers[: len(words)]] == [np.array([i, i + 1], "<u4").tobytes() for i in range(len(words))] and set(numbers[len(words) :]) == {-1}
     assert sum(made.final) < len(words)  # endings are shared
-    assert bpe.Lexicon(bpe.Transducer([], {}).layout()).look([b"a"]).tolist() == [-1]
+    assert bpe.Lexicon(on_disk(tmp_path, bpe.Transducer([], {}).layout())).look([b"a"]).tolist() == [-1]
 
 
 def test_encode_decode_query(spark):
@@ -136,6 +141,14 @@ def test_encode_decode_query(spark):
     assert got == want and bpe.encode_decode(brute.frame(spark, rows).limit(0), path).count() == 0
 
 
+def test_frequent_words_from_a_least_count_on(spark):
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = brute.frame(spark, [(i, " ".join(["aa"] * 9 + ["bb"] * 9 + ["cc"] * 4 + ["dd", "dd", f"x{'abcdefghij'[i]}"])) for i in range(3)])
+    got = [set(bpe.frequent_words(docs, vocabulary, most=n)) for n in (0, 1, 2, 3, 100)]
+    ranked = [b" bb", b" aa", b" cc", b" dd", b"aa"]
+    assert got == [set(ranked[:n]) for n in (0, 1, 2, 3, 100)]
+
+
 def test_packing(spark, sf):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
