@@ -181,7 +181,11 @@ def term_spans(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
     """key, terms: the places of disclosing terms in each different text that holds any; `match` is the term's class."""
     may = bitmap(terms, F.xxhash64("term"), max(20, terms.count().bit_length() + 4))
     source = docs.select(_text(F.col(text)).alias("text")).withColumn("key", _key(F.col("text")))
-    places = source.select("key", F.explode(matches(F.col("text"), TERM, "term")).alias("s")).withColumn("term", F.lower("s.match"))
+    words = source.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    keys = materialize(may.flag(words, F.xxhash64("term"), "may").filter("may").select("key").distinct(), "term-keys")
+    place = F.xxhash64("key")
+    those = bitmap(keys, place, max(20, keys.count().bit_length() + 4)).flag(source, place, "may").filter("may").drop("may")
+    places = those.select("key", F.explode(matches(F.col("text"), TERM, "term")).alias("s")).withColumn("term", F.lower("s.match"))
     places = may.flag(places, F.xxhash64("term"), "may").filter("may").select("key", "s.start", "s.end", "term").distinct()
     counted = materialize(places, "places")
     sizes = counted.groupBy("term").agg(F.count(F.lit(1)).alias("size"))
