@@ -134,11 +134,10 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str) -> DataFrame
     each = holding.select("key", "copies", F.explode("entities").alias("entity"))
     entities = each.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("df_e"), F.xxhash64(F.count(F.lit(1)), F.sum("copies"), *halves).alias("class"))
     known = materialize(entities.filter(F.col("texts") >= SUPPORT), "entities")
-    total_e = known.agg(F.sum("texts")).first()[0]
-    if not total_e:
+    if not known.limit(1).count():
         return None
     rows = found.count()
-    held = attach(each, known.select("entity", "class", "df_e", "texts"), "entity", "texts", max(total_e, 1)).filter("class is not null")
+    held = each.join(known.select("entity", "class", "df_e"), "entity")  # a hot entity's rows: adaptive execution splits skewed joins
     held = materialize(held.select("key", "copies", "class", "df_e").distinct().groupBy("key", "copies").agg(F.collect_list(F.struct("class", "df_e")).alias("classes")), "classes")
     n_held = held.count()
     source = docs.select(_text(F.col(text)).alias("text")).withColumn("key", _key(F.col("text")))
@@ -166,11 +165,11 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str) -> DataFrame
     told = materialize(told.groupBy("term").agg(F.max("posterior").alias("posterior")), "told")
     classes = told.filter(F.col("term").endswith("*")).select(F.col("term").alias("class"), F.lit(True).alias("is_told"))
     terms = told.filter(~F.col("term").endswith("*"))
-    general = F.lit(None).cast("string")
-    for n in (1, 3):  # the less general class goes before
-        mark, label = f"told{n}", F.concat(F.substring("term", 1, n), F.lit("*"))
-        terms = terms.withColumn("label", label).join(classes.select(F.col("class").alias("label"), F.col("is_told").alias(mark)), "label", "left").drop("label")
-        general = F.when(F.col(mark).isNull(), label).otherwise(general)
+    label = lambda n: F.concat(F.substring("term", 1, n), F.lit("*"))
+    each = terms.select("term", "posterior", F.explode(F.array(F.struct(F.lit(0).alias("at"), label(3).alias("class")), F.struct(F.lit(1).alias("at"), label(1).alias("class")))).alias("c"))
+    free = each.select("term", "posterior", "c.*").join(classes, "class", "left").groupBy("term", "posterior")
+    terms = free.agg(F.min(F.when(F.col("is_told").isNull(), F.struct("at", "class"))).alias("free"))  # the least general one that is free
+    general = F.col("free.class")
     out = materialize(terms.select("term", "posterior", general.alias("general")), "terms")
     for t in (holding, known, held, near, df_t, told):
         discard(t)
