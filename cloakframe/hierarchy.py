@@ -55,7 +55,9 @@ class Hierarchy:
         return len(self.mapping.columns) - 1 if self.mapping is not None else len(self.rules)
 
     def level(self, value: Column, to: int, start: int = 0) -> Column:
-        """The value of level `start` as a value of level `to`; rules only."""
+        """The value of level `start` as a value of level `to`; rules only: a mapping table has to be joined, see levels()."""
+        if self.mapping is not None:
+            raise ValueError(f"{self.name}: a mapping table has no rules; join its levels()")
         if not 0 <= start <= to <= self.height:
             raise ValueError(f"{self.name}: levels {start} to {to} are not within 0 to {self.height}")
         return reduce(lambda v, r: r.column(v), self.rules[start:to], value)
@@ -109,24 +111,62 @@ class Hierarchy:
             raise ValueError(f"{self.name}: {node!r} stands on several levels")
         return found["level"]
 
-    def common_level(self, value: Column) -> list[Column]:
+    def levels(self, df: DataFrame, column: str, to: str) -> DataFrame:
+        """df with the column's value on every level, as text: {to}0 to {to}h. A value that a mapping lacks raises an error."""
+        value = F.col("`" + column.replace("`", "``") + "`").cast("string")
+        names = [f"{to}{i}" for i in range(self.height + 1)]
+        if self.mapping is None:
+            return df.select("*", *[self.level(F.col("`" + column.replace("`", "``") + "`"), i).cast("string").alias(n) for i, n in enumerate(names)])
+        known = self.mapping.select(*[F.col(f"l{i}").cast("string").alias(n) for i, n in enumerate(names)]).dropDuplicates([names[0]])
+        unknown = F.raise_error(F.concat(F.lit(f"{column}: not in its hierarchy: "), value)).cast("string")
+        joined = df.join(known, value == F.col(names[0]), "left")
+        return joined.withColumn(names[0], F.when(value.isNotNull(), F.coalesce(names[0], unknown)))
+
+    def _agree(self, levels: list[Column]) -> list[Column]:
         """Aggregates over a group's leaves: for each level below the top, whether all agree."""
-        return [F.min(self.level(value, i).cast("string")).eqNullSafe(F.max(self.level(value, i).cast("string"))) for i in range(self.height)]
+        return [F.min(x).eqNullSafe(F.max(x)) for x in levels[:-1]]
+
+    def _texts(self, value: Column) -> list[Column]:
+        return [self.level(value, i).cast("string") for i in range(self.height + 1)]
+
+    def lca(self, value: Column | None = None, levels: list[Column] | None = None) -> Column:
+        """Aggregate over a group's leaves: the value of their lowest common ancestor, '*' above the last level.
 
-    def lca(self, value: Column) -> Column:
-        """Aggregate over a group's leaves: the value of their lowest common ancestor, '*' above the last level."""
+        Give the leaves themselves for a hierarchy of rules, or the columns that levels() made for any.
+        """
+        levels = levels or self._texts(value)
         out = F.lit(ANY)
-        for i, same in reversed([*enumerate(self.common_level(value))]):
-            out = F.when(same, F.min(self.level(value, i).cast("string"))).otherwise(out)
+        for x, same in reversed([*zip(levels, self._agree(levels), strict=False)]):
+            out = F.when(same, F.min(x)).otherwise(out)
         return out
 
-    def lca_height(self, value: Column) -> Column:
-        """Aggregate over a group's leaves: the level of their lowest common ancestor."""
+    def lca_height(self, value: Column | None = None, levels: list[Column] | None = None) -> Column:
+        """Aggregate over a group's leaves: the level of their lowest common ancestor; see lca()."""
+        levels = levels or self._texts(value)
         out = F.lit(self.height)
-        for i, same in reversed([*enumerate(self.common_level(value))]):
+        for i, same in reversed([*enumerate(self._agree(levels))]):
             out = F.when(same, F.lit(i)).otherwise(out)
         return out
 
+    def lca_nodes(self, groups: DataFrame, df: DataFrame, group: str = "group_id", node: str = "node", column: str | None = None) -> DataFrame:
+        """group, lca, height: the lowest node that holds all nodes of each group, leaves and inner ones alike.
+
+        '*' holds everything. A null node is left out; a node that is unknown raises an error when the result is computed.
+        """
+        t = self.table(df, column)
+        chain = lambda i: F.array(*[F.struct(F.lit(j).alias("level"), F.col(f"l{j}").alias("above")) for j in range(i, self.height + 1)])
+        each = t.select(F.explode(F.array(*[F.struct(F.col(f"l{i}").alias("n"), F.lit(i).alias("at"), chain(i).alias("up")) for i in range(self.height + 1)])).alias("x")).select("x.*")
+        lowest = each.groupBy("n").agg(F.min_by("up", "at").alias("up"))  # a node's own level and those above it
+        asked = groups.select(F.col(group).alias("g"), F.col(node).cast("string").alias("n")).filter("n is not null").distinct()
+        top = F.when(F.col("n") == ANY, F.array(F.struct(F.lit(self.height).alias("level"), F.lit(ANY).alias("above"))))
+        unknown = F.raise_error(F.concat(F.lit(f"{self.name}: no node of its hierarchy: "), F.col("n"))).cast("array<struct<level:int,above:string>>")
+        met = asked.join(lowest, "n", "left").select("g", "n", F.coalesce(top, F.col("up"), unknown).alias("up"))
+        sizes = met.groupBy("g").agg(F.count(F.lit(1)).alias("nodes"))
+        shared = met.select("g", F.explode("up").alias("u")).groupBy("g", "u.above").agg(F.min("u.level").alias("level"), F.count(F.lit(1)).alias("met"))
+        found = shared.join(sizes, "g").filter(F.col("met") >= F.col("nodes")).groupBy("g").agg(F.min_by("above", "level").alias("lca"), F.min("level").alias("height"))
+        both = sizes.join(found, "g", "left")
+        return both.select(F.col("g").alias(group), F.coalesce("lca", F.lit(ANY)).alias("lca"), F.coalesce("height", F.lit(self.height)).cast("int").alias("height"))
+
 
 def all_nodes(df: DataFrame, hierarchies: dict[str, Hierarchy]) -> DataFrame:
     """attribute, leaf, level, node of all hierarchies, in one long table."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
@@ -24,14 +26,33 @@ class Neighbours:
 
     k: int = 5
     key: str = "key"
+    rows: int = 4096  # of a block of either side
 
     def predict(self, train: DataFrame, test: DataFrame) -> DataFrame:
-        """test's key, label, prediction. Every test row meets every training row in blocks of the training side."""
-        a = test.select(F.col(self.key).alias("a_key"), F.col("label").alias("a_label"), F.col("features").alias("a_f"))
-        b = train.select(F.col(self.key).alias("b_key"), F.col("label").alias("b_label"), F.col("features").alias("b_f"))
-        square = F.aggregate(F.zip_with("a_f", "b_f", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-        pairs = a.crossJoin(b).select("a_key", "a_label", "b_label", F.struct(square.alias("d"), F.col("b_key")).alias("near"))
-        ranked = pairs.withColumn("r", F.row_number().over(W.Window.partitionBy("a_key").orderBy("near"))).filter(F.col("r") <= self.k)
+        """test's key, label, prediction. Every block of test rows meets every block of training rows, and sends on k votes a row."""
+        parts = []
+        for side in (test, train):
+            blocks = max(1, -(-side.count() // self.rows))
+            parts.append((side.select(F.col(self.key).alias("key"), "label", "features").withColumn("block", F.pmod(F.xxhash64(self.key), F.lit(blocks))), blocks))
+        (a, a_blocks), (b, b_blocks) = parts
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        a = a.withColumnRenamed("block", "a_block").withColumn("b_block", every(b_blocks))
+        b = b.withColumnRenamed("block", "b_block").withColumn("a_block", every(a_blocks))
+        k, kind = self.k, test.schema[self.key].dataType.simpleString()
+
+        def meet(asking: pd.DataFrame, having: pd.DataFrame) -> pd.DataFrame:
+            out, having = [], having.sort_values("key", ignore_index=True)
+            x = np.stack(having["features"].to_list()) if len(having) else None
+            for key, label, f in zip(asking["key"], asking["label"], asking["features"], strict=True):
+                if x is None:
+                    continue
+                far = ((x - np.asarray(f)) ** 2).sum(1)
+                best = np.argsort(far, kind="stable")[:k]
+                out += [(key, label, having["label"].iat[i], far[i], having["key"].iat[i]) for i in best]
+            return pd.DataFrame(out, columns=["a_key", "a_label", "b_label", "d", "b_key"])
+
+        pairs = a.groupBy("a_block", "b_block").cogroup(b.groupBy("a_block", "b_block")).applyInPandas(meet, f"a_key {kind}, a_label string, b_label string, d double, b_key {kind}")
+        ranked = pairs.withColumn("r", F.row_number().over(W.Window.partitionBy("a_key").orderBy("d", "b_key"))).filter(F.col("r") <= self.k)
         votes = ranked.groupBy("a_key", "a_label", "b_label").agg(F.count(F.lit(1)).alias("n"))
         return votes.groupBy(F.col("a_key").alias(self.key), F.col("a_label").alias("label")).agg(F.min_by("b_label", F.struct(-F.col("n"), F.col("b_label"))).alias("prediction"))
 

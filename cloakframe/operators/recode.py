@@ -57,11 +57,21 @@ def mean_mode(groups: DataFrame, spec: AnonSpec, order: str | None = None) -> Da
 
 
 def generalization(groups: DataFrame, spec: AnonSpec) -> DataFrame:
-    """Every quasi-identifier, numeric ones too, becomes the lowest common ancestor of the group's values."""
-    values = [spec.hierarchy(c).lca(F.col(q(c))).alias(f"v{i}") for i, c in enumerate(spec.qids)]
+    """Every quasi-identifier, numeric ones too, becomes the lowest common ancestor of the group's values.
+
+    Hierarchies are of rules or of mapping tables; a value that a mapping table lacks raises an error.
+    """
+    values, rows = [], groups
+    for i, c in enumerate(spec.qids):
+        h, own = spec.hierarchy(c), f"_cf{i}_"
+        if h.mapping is None:
+            values.append(h.lca(F.col(q(c))).alias(f"v{i}"))
+        else:
+            rows = h.levels(rows, c, own)
+            values.append(h.lca(levels=[F.col(f"{own}{j}") for j in range(h.height + 1)]).alias(f"v{i}"))
     alone = F.raise_error("a group of one row has no common ancestor").cast("boolean")
-    values = groups.groupBy(GROUP).agg(F.count(F.lit(1)).alias("_n"), *values).filter(F.when(F.col("_n") < 2, alone).otherwise(True))
-    return _join_back(groups, values.drop("_n"), spec)
+    found = rows.groupBy(GROUP).agg(F.count(F.lit(1)).alias("_n"), *values).filter(F.when(F.col("_n") < 2, alone).otherwise(True))
+    return _join_back(groups, found.drop("_n"), spec)
 
 
 def custom(groups: DataFrame, spec: AnonSpec, recode: Callable, schema: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from .. import anonymity, mleval, utility
 from ..functions.rules import Bucket, MapValues, Suppress, Threshold, Widen
@@ -16,9 +18,10 @@ from ..operators.cluster import Clusterer
 from ..operators.generalize import Datafly, generalize_column, levels_table
 from ..operators.mondrian import Mondrian
 from ..operators.perturb import Perturbation, solve_b, solve_p
-from ..operators.recode import GROUP
+from ..operators.recode import GROUP, RECODERS
 from ..sources.tables import read_table
 from ..spec import AnonSpec
+from .tables import shared_dir
 
 K_LINES, K_PART = 200, 5
 LINE_QIDS = ["l_quantity", "l_returnflag", "l_linestatus"]
@@ -161,6 +164,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hierarchy_nodes": lambda s, d: SIZES.nodes(part_spec(s, d).df),
     "hierarchy_all": lambda s, d: all_nodes(customer_spec(s, d).df, {"c_nationkey": NATIONS, "c_mktsegment": SEGMENTS}),
     "hierarchy_lca": lambda s, d: part_spec(s, d).df.groupBy("p_brand").agg(SIZES.lca(F.col("p_size")).alias("lca"), SIZES.lca_height(F.col("p_size")).alias("height")),
+    "hierarchy_lca_mapping": lambda s, d: _mapped_lca(s, d),
+    "hierarchy_lca_nodes": lambda s, d: _nodes_lca(s, d),
+    "recode_generalization_mapping": lambda s, d: _mapped_recoding(s, d),
+    "hierarchy_csv_file": lambda s, d: _from_file(s, d),
     "generalize_column": lambda s, d: generalize_column(read_table(s, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", Hierarchy("c_nationkey", mapping=_nation_map(s, d)), 0, 1),
     "datafly_levels": lambda s, d: levels_table(_datafly(0)(s, d), part_spec(s, d).df),
     "datafly_table": _datafly_table,
@@ -199,6 +206,34 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _mapped_lca(spark: SparkSession, d: str) -> DataFrame:
+    h = Hierarchy("c_nationkey", mapping=_nation_map(spark, d))
+    rows = h.levels(read_table(spark, d, "customer").select((F.col("c_custkey") % 500).alias("group_id"), "c_nationkey"), "c_nationkey", "n")
+    at = [F.col(f"n{i}") for i in range(3)]
+    return rows.groupBy("group_id").agg(h.lca(levels=at).alias("lca"), h.lca_height(levels=at).alias("height"))
+
+
+def _nodes_lca(spark: SparkSession, d: str) -> DataFrame:
+    """Of each group of customers: their nations, but the region for even keys."""
+    h = Hierarchy("c_nationkey", mapping=_nation_map(spark, d))
+    rows = h.levels(read_table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", "n")
+    nodes = rows.select((F.col("c_custkey") % 500).alias("group_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("n1")).otherwise(F.col("n0")).alias("node"))
+    return h.lca_nodes(nodes, rows)
+
+
+def _mapped_recoding(spark: SparkSession, d: str) -> DataFrame:
+    spec = AnonSpec(read_table(spark, d, "customer").select("c_custkey", "c_nationkey"), ("c_nationkey",), {"c_nationkey": True}, None, "c_custkey", {"c_nationkey": Hierarchy("c_nationkey", mapping=_nation_map(spark, d))})
+    groups = spec.df.withColumn(GROUP, F.floor(F.col("c_custkey") / 4)).withColumn("n", F.count(F.lit(1)).over(W.Window.partitionBy(GROUP)))
+    return RECODERS["generalization"](groups.filter("n > 1").drop("n"), spec)
+
+
+def _from_file(spark: SparkSession, d: str) -> DataFrame:
+    """The mapping written as a CSV file without header, read as a hierarchy again, and its inner nodes counted."""
+    path = f"{shared_dir(spark)}/cloakframe-mapping-{uuid.uuid4().hex}"
+    _nation_map(spark, d).write.csv(path)
+    return Hierarchy.from_csv(spark, "c_nationkey", path).nodes(read_table(spark, d, "customer"))
+
+
 def _nation_map(spark: SparkSession, d: str) -> DataFrame:
     n, r = read_table(spark, d, "nation"), read_table(spark, d, "region")
     return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").cast("string").alias("l0"), F.col("r_name").alias("l1"), F.lit("*").alias("l2"))
@@ -275,6 +310,7 @@ WITH RECURSIVE code AS (
 ), rows AS (SELECT g.group_id, p.* FROM groups g JOIN part p USING (p_partkey))
 """
 
+_NATIONS = "WITH m AS (SELECT c_custkey, c_nationkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 _STRATUM = "SELECT *, row_number() OVER (PARTITION BY {t} ORDER BY {u}, {k}) AS r, count(*) OVER (PARTITION BY {t}) AS n FROM {table}"
 _KNN = f"""
 WITH s AS (
@@ -336,6 +372,15 @@ ORACLES: dict[str, str] = {
     "hierarchy_lca": f"""
       SELECT p_brand, CASE {' '.join(f'WHEN count(DISTINCT {x}) = 1 THEN min({x})' for x in _SIZE[:4])} ELSE '*' END AS lca,
              CAST(CASE {' '.join(f'WHEN count(DISTINCT {x}) = 1 THEN {i}' for i, x in enumerate(_SIZE[:4]))} ELSE 4 END AS INTEGER) AS height FROM part GROUP BY p_brand""",
+    "hierarchy_lca_mapping": f"""{_NATIONS} SELECT c_custkey % 500 AS group_id, CASE WHEN count(DISTINCT c_nationkey) = 1 THEN CAST(min(c_nationkey) AS VARCHAR) WHEN count(DISTINCT r_name) = 1 THEN min(r_name) ELSE '*' END AS lca,
+      CAST(CASE WHEN count(DISTINCT c_nationkey) = 1 THEN 0 WHEN count(DISTINCT r_name) = 1 THEN 1 ELSE 2 END AS INTEGER) AS height FROM m GROUP BY 1""",
+    "hierarchy_lca_nodes": f"""{_NATIONS} SELECT c_custkey % 500 AS group_id,
+      CASE WHEN count(DISTINCT r_name) > 1 THEN '*' WHEN count(DISTINCT c_nationkey) = 1 AND min(c_custkey % 2) = 1 THEN CAST(min(c_nationkey) AS VARCHAR) ELSE min(r_name) END AS lca,
+      CAST(CASE WHEN count(DISTINCT r_name) > 1 THEN 2 WHEN count(DISTINCT c_nationkey) = 1 AND min(c_custkey % 2) = 1 THEN 0 ELSE 1 END AS INTEGER) AS height FROM m GROUP BY 1""",
+    "recode_generalization_mapping": f"""{_NATIONS}, g AS (SELECT c_custkey // 4 AS group_id, CASE WHEN count(DISTINCT c_nationkey) = 1 THEN CAST(min(c_nationkey) AS VARCHAR) WHEN count(DISTINCT r_name) = 1 THEN min(r_name) ELSE '*' END AS v
+      FROM m GROUP BY 1 HAVING count(*) > 1) SELECT c_custkey, v AS c_nationkey, group_id FROM m JOIN g ON c_custkey // 4 = group_id""",
+    "hierarchy_csv_file": """WITH m AS (SELECT CAST(n_nationkey AS VARCHAR) AS n, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+      SELECT n AS node, 0 AS level, 1::BIGINT AS levels, 0::BIGINT AS leaf_count FROM m UNION ALL SELECT r_name, 1, 1, count(*) FROM m GROUP BY r_name UNION ALL SELECT '*', 2, 1, count(*) FROM m""",
     "generalize_column": "SELECT c_custkey, r_name AS c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "datafly_levels": f"WITH RECURSIVE {_datafly_walk(0)} SELECT 'p_brand' AS attribute, CAST(CASE WHEN b = 2 THEN -1 ELSE b END AS INTEGER) AS level FROM final UNION ALL SELECT 'p_type', CAST(CASE WHEN t = 1 THEN -1 ELSE t END AS INTEGER) FROM final UNION ALL SELECT 'p_size', CAST(CASE WHEN z = 4 THEN -1 ELSE z END AS INTEGER) FROM final",
     "datafly_suppressed": f"WITH RECURSIVE {_datafly_walk(20)} SELECT vb AS p_brand, vt AS p_type, vz AS p_size, n AS \"count\" FROM classes JOIN final USING (b, t, z) WHERE n < {K_PART}",

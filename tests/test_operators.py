@@ -71,6 +71,15 @@ def test_hierarchy_files(spark, tmp_path):
     (tmp_path / "m.csv").write_text("a,AB,*\nb,AB,*\n")
     m = Hierarchy.from_csv(spark, "w", str(tmp_path / "m.csv"))
     assert [r["w"] for r in generalize_column(df.filter("w = 'a' or w is null"), "w", m, 0, 1).orderBy("w").collect()] == [None, "AB"]
+    pairs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a")], "g long, w string")
+    got = m.levels(pairs, "w", "l").groupBy("g").agg(m.lca(levels=[F.col(f"l{i}") for i in range(3)]).alias("x")).orderBy("g").collect()
+    assert [r["x"] for r in got] == ["AB", "a"]
+    with pytest.raises(ValueError, match="no rules"):
+        m.lca(F.col("w"))
+    nodes = spark.createDataFrame([(1, "a"), (1, "AB"), (2, "*"), (2, "a"), (3, "b"), (4, None), (5, "AB")], "group_id long, node string")
+    assert {tuple(r) for r in m.lca_nodes(nodes, df).collect()} == {(1, "AB", 1), (2, "*", 2), (3, "b", 0), (5, "AB", 1)}
+    with pytest.raises(Exception, match="no node of its hierarchy: z"):
+        m.lca_nodes(spark.createDataFrame([(1, "z")], "group_id long, node string"), df).collect()
     with pytest.raises(Exception, match="not in its hierarchy: c"):
         generalize_column(df, "w", m, 0, 1).collect()
     for levels in ((1, 1), (0, 3), (-1, 1)):
