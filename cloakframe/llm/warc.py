@@ -210,10 +210,13 @@ def read(archives: DataFrame) -> DataFrame:
                     index = [json.loads(x) for x in f.read(size).decode().split("\n") if x]
                     base, _ = member(f, entries[RECORDS])
                 runs: list[list[int]] = [[]]
+                held = 0  # bytes of the last run
                 for x in index:
-                    if runs[-1] and sum(runs[-1]) + x["length"] > RANGE:
-                        base, runs = base, [*runs, []]
+                    if runs[-1] and held + x["length"] > RANGE:
+                        runs.append([])
+                        held = 0
                     runs[-1].append(x["length"])
+                    held += x["length"]
                 starts = [base]
                 for r in runs[:-1]:
                     starts.append(starts[-1] + sum(r))
