@@ -46,11 +46,11 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
 
-def matches(text: Column, pattern: str, kind: str) -> Column:
-    """All leftmost non-overlapping matches: array of SPAN, positions in code points, end exclusive.
+def matches(text: Column, pattern: str, kind: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """All leftmost non-overlapping matches, or those that `keep` tells: array of SPAN, in code points, end exclusive.
 
     The pieces between matches and the matches alternate, so their lengths add up to the positions; sums run over blocks
-    of _BLOCK matches to stay near linear for texts with very many.
+    of _BLOCK matches to stay near linear for texts with very many. Only kept matches are placed.
     """
 
     def placed(m: Column, p: Column) -> Column:
@@ -60,7 +60,10 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
                 start = F.get(before, block) + _sum(F.slice(t, block * _BLOCK + 1, i - block * _BLOCK)) + F.length(F.get(p, i))
                 return let(start, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("start"), (s + F.length(x)).alias("end"), x.alias("match")))
 
-            return F.transform(m, at)
+            if keep is None:
+                return F.transform(m, at)
+            kept = F.filter(F.transform(m, lambda x, i: F.when(keep(x), i)), lambda i: i.isNotNull())
+            return F.transform(kept, lambda i: at(F.get(m, i), i))
 
         lengths = F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x))
         totals = lambda t: F.transform(F.sequence(F.lit(0), F.floor((F.size(t) - 1) / _BLOCK).cast("int")), lambda k: _sum(F.slice(t, k * _BLOCK + 1, F.lit(_BLOCK))))
@@ -176,25 +179,37 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str) -> DataFrame
     return out if out.limit(1).count() else None
 
 
-def term_spans(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
-    """key, terms: the places of disclosing terms in each different text that holds any; `match` is the term's class."""
+def told_terms(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
+    """key, told: the disclosing terms that each different text holds, with their classes; only texts that hold any."""
     may = bitmap(terms, F.xxhash64("term"), max(20, terms.count().bit_length() + 4))
     source = docs.select(_text(F.col(text)).alias("text")).withColumn("key", _key(F.col("text")))
-    words = source.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    keys = materialize(may.flag(words, F.xxhash64("term"), "may").filter("may").select("key").distinct(), "term-keys")
-    place = F.xxhash64("key")
-    those = bitmap(keys, place, max(20, keys.count().bit_length() + 4)).flag(source, place, "may").filter("may").drop("may")
-    places = those.select("key", F.explode(matches(F.col("text"), TERM, "term")).alias("s")).withColumn("term", F.lower("s.match"))
-    places = may.flag(places, F.xxhash64("term"), "may").filter("may").select("key", "s.start", "s.end", "term").distinct()
-    counted = materialize(places, "places")
-    sizes = counted.groupBy("term").agg(F.count(F.lit(1)).alias("size"))
-    met = attach(counted, terms.join(sizes, "term"), "term", "size", counted.count()).filter("posterior is not null")
-    span = F.struct(F.when(F.col("general").isNull(), "removed").otherwise("generalised").alias("kind"), F.col("start"), F.col("end"), F.coalesce("general", F.lit("")).alias("match"))
-    out = materialize(met.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("at"), span.alias("span")))).alias("terms")).select("key", F.transform("terms", lambda t: t["span"]).alias("terms")), "term-spans")
-    discard(counted)
+    words = source.select("key", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    held = materialize(may.flag(words, F.xxhash64("term"), "may").filter("may").select("key", "term").distinct(), "held-terms")
+    sizes = held.groupBy("term").agg(F.count(F.lit(1)).alias("size"))
+    met = attach(held, terms.join(sizes, "term"), "term", "size", held.count()).filter("posterior is not null")
+    out = materialize(met.groupBy("key").agg(F.collect_list(F.struct("term", "general")).alias("told")), "told-terms")
+    discard(held)
     return out
 
 
+def term_spans(text: Column, told: Column) -> Column:
+    """The spans of a text's disclosing terms; `match` is the term's class. `told`: as told_terms() gives it, or null.
+
+    The terms lie in about as many slots as each slot holds terms, so that a word is compared with few of them.
+    """
+
+    def spans(slots: Column) -> Column:
+        same = lambda word: F.filter(F.get(slots, F.pmod(F.hash(word), F.size(slots))), lambda t: t["term"] == word)
+        found = matches(text, TERM, "term", lambda x: let(F.lower(x), lambda word: F.size(same(word)) > 0))
+        general = lambda s: let(F.lower(s["match"]), lambda word: F.get(same(word), F.lit(0))["general"])
+        kind = lambda g: F.when(g.isNull(), "removed").otherwise("generalised").alias("kind")
+        return F.transform(found, lambda s: let(general(s), lambda g: F.struct(kind(g), s["start"].alias("start"), s["end"].alias("end"), F.coalesce(g, F.lit("")).alias("match"))))
+
+    many = F.ceil(F.sqrt(F.size(told))).cast("int")
+    slots = F.transform(F.sequence(F.lit(0), many - 1), lambda k: F.filter(told, lambda t: F.pmod(F.hash(t["term"]), many) == k))
+    return F.when(told.isNotNull(), let(slots, spans))
+
+
 def _before(values: Column, least: int = -1) -> Callable[[Callable], Column]:
     """body(f) where f(i) is the largest of the array's values before place i; blocks keep it near linear."""
     blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / _BLOCK).cast("int")), lambda k: F.coalesce(F.array_max(F.slice(values, k * _BLOCK + 1, F.lit(_BLOCK))), F.lit(least)))
@@ -252,12 +267,15 @@ def pii_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     if terms is None:
         full = found.withColumn("all", F.col("spans"))
     else:
-        places = term_spans(docs, terms, text)
-        may = bitmap(places, F.xxhash64("key"), max(20, places.count().bit_length() + 4)).flag(found, F.xxhash64("key"), "may")
-        hit = may.filter("may").drop("may")
-        sizes = hit.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-        met = attach(hit, places.join(sizes, "key"), "key", "size", found.count())
-        full = may.filter("not may").drop("may").withColumn("all", F.col("spans")).unionByName(met.withColumn("all", _with_terms(F.col("spans"), F.col("terms"))).drop("terms", "size"))
+        told = told_terms(docs, terms, text)
+        may = bitmap(told, F.xxhash64("key"), max(20, told.count().bit_length() + 4))
+        marked = may.flag(found, F.xxhash64("key"), "may")
+        sizes = marked.filter("may").groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+        source = docs.select(F.col(doc_id).alias("doc_id"), _text(F.col(text)).alias("text")).withColumn("key", _key(F.col("text")))
+        hit = may.flag(source, F.xxhash64("key"), "may").filter("may").drop("may")
+        met = attach(hit, told.join(sizes, "key"), "key", "size", found.count()).withColumn("spans", base_spans(F.col("text")))
+        met = materialize(met.select("doc_id", "spans", _with_terms(F.col("spans"), term_spans(F.col("text"), F.col("told"))).alias("all")), "with-terms")
+        full = marked.filter("not may").select("doc_id", "spans", F.col("spans").alias("all")).unionByName(met)
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return full.select("doc_id", *map(n, PATTERNS), F.sha2(_digest(F.col("spans")), 256).alias("base_sha256"), _digest(F.col("all")).alias("spans"))
 
@@ -325,11 +343,11 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     if terms is None:
         return put(docs.withColumn(spans, base))
-    places = term_spans(docs, terms, text).select(F.col("key").alias(key), F.col("terms").alias(known))
-    marked = bitmap(places, F.xxhash64(key), max(20, places.count().bit_length() + 4)).flag(docs.withColumn(key, _key(_text(F.col(text)))), F.xxhash64(key), may)
+    told = told_terms(docs, terms, text).select(F.col("key").alias(key), F.col("told").alias(known))
+    marked = bitmap(told, F.xxhash64(key), max(20, told.count().bit_length() + 4)).flag(docs.withColumn(key, _key(_text(F.col(text)))), F.xxhash64(key), may)
     sizes = marked.filter(F.col(may)).groupBy(key).agg(F.count(F.lit(1)).alias(size))
-    hit = attach(marked.filter(F.col(may)), places.join(sizes, key), key, size, max(total, 1))
-    hit = hit.withColumn(spans, base).withColumn(spans, _with_terms(F.col(spans), F.col(known)))
+    hit = attach(marked.filter(F.col(may)), told.join(sizes, key), key, size, max(total, 1))
+    hit = hit.withColumn(spans, base).withColumn(spans, _with_terms(F.col(spans), term_spans(_text(F.col(text)), F.col(known))))
     return put(marked.filter(~F.col(may)).withColumn(spans, base)).unionByName(put(hit))
 
 

@@ -6,12 +6,15 @@ import time
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from cloakframe.llm import bpe, language, packing, pii, toxicity
 
 from . import brute
 
+pii_words = regex.compile(pii.TERM)
+
 
 def test_pii_spans_match_brute_force(spark):
     rnd = random.Random(1)
@@ -285,3 +288,18 @@ def test_score_is_the_sum_over_all_pairs(spark):
         at = [int(k) for k in np.flatnonzero(np.isin(cells, toxicity.terms_of(t)))]
         z = m.bias + sum(m.w[k] for k in at) + sum(m.v[a] @ m.v[b] for n, a in enumerate(at) for b in at[:n])
         assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_places_of_very_many_terms_in_a_text(spark):
+    """Slots give each word its own class; only the terms told to a text are placed; no terms give no spans."""
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x" for i in range(2000)]
+    told = [(w, None if i % 3 else w[:3] + "*") for i, w in enumerate(words) if i % 2]
+    text = ", ".join(w.upper() for w in words) + " é😀 " + " ".join(words)
+    df = spark.createDataFrame([(text, told), ("plain text", told[:1]), ("", None)], "text string, told array<struct<term:string,general:string>>")
+    got = [r[0] for r in df.select(pii.term_spans(pii.F.col("text"), pii.F.col("told"))).collect()]
+    known, want = dict(told), []
+    for m in pii_words.finditer(text):
+        if m[0].lower() in known:
+            general = known[m[0].lower()]
+            want.append(("generalised" if general else "removed", m.start(), m.end(), general or ""))
+    assert list(map(tuple, got[0])) == want and got[1] == [] and got[2] is None
