@@ -1,15 +1,17 @@
 """Greedy clusterers, k-Member and OKA: exact sequential kernels on one block of rows, or on many blocks in parallel.
 
-Each step of these algorithms depends on the one before, so the exact form is one Arrow task of at most EXACT_ROWS rows.
-For larger tables the blocked form cuts the table by Mondrian into blocks first and runs the kernel in each; its groups
-still have k rows, but are not those of the global algorithm.
+Each step of these algorithms depends on the one before, so the exact form is one Arrow task over all rows (OKA: at most EXACT_ROWS). The blocked
+form cuts the table by Mondrian into blocks first and runs the kernel in each; its groups still have k rows, but are not
+those of the global algorithm.
 
 Kernels work on arrays: numbers, and for categories the number of the ancestor on each level, so that the level of a
-lowest common ancestor is a comparison of columns.
+lowest common ancestor is a comparison of columns. A step does not look at every row or cluster: these lie in cells with
+bounds, and only cells that may hold the best are opened (Cells). What is found is what a full scan finds.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -25,7 +27,8 @@ from .generalize import Result
 from .mondrian import Mondrian
 from .recode import GROUP, RECODERS
 
-EXACT_ROWS = 20_000
+EXACT_ROWS = 20_000  # of OKA
+MIXED = -2  # in place of an ancestor's code: members of a cell differ
 
 
 @dataclass
@@ -49,13 +52,24 @@ class Block:
                 out = out + _lca(code[i][None, :] == code[rows]) / (code.shape[1] - 1)
         return out
 
+    def distance_to(self, i: int, cells: Cells) -> np.ndarray:
+        """At least the distance from row i to any row of each cell."""
+        out = np.zeros(len(cells.rows))
+        for num, code, lo, hi, shared, span in zip(self.numbers, self.codes, cells.lo, cells.hi, cells.codes, self.spans, strict=True):
+            if num is not None:
+                out = out + (np.maximum(np.abs(num[i] - lo), np.abs(num[i] - hi)) / span if span else 0.0)
+            else:
+                out = out + _lca(code[i][None, :] == shared) / (code.shape[1] - 1)
+        return out
+
     def start(self, i: int) -> Cluster:
         return Cluster([i], [None if x is None else (x[i], x[i]) for x in self.numbers], [None if c is None else c[i].copy() for c in self.codes])
 
 
 def _lca(same: np.ndarray) -> np.ndarray:
-    """The first level on which all agree, else the height; same: rows x levels + 1."""
-    return np.where(same[:, :-1].any(1), same[:, :-1].argmax(1), same.shape[1] - 1)
+    """The first level on which all agree, else the height; same: rows x levels + 1, and is overwritten."""
+    same[:, -1] = True
+    return same.argmax(1)
 
 
 @dataclass
@@ -89,6 +103,160 @@ class Cluster:
                 total += float(_lca((own >= 0)[None, :])[0]) / (len(own) - 1)
         return len(self.rows) * total
 
+    def losses_from(self, b: Block, cells: Cells) -> np.ndarray:
+        """At most the loss with any row of each cell added: losses() over bounds, with the same roundings."""
+        out = np.zeros(len(cells.rows))
+        for j, (lo, hi, span, bound, own) in enumerate(zip(cells.lo, cells.hi, b.spans, self.bounds, self.shared, strict=True)):
+            if lo is not None:
+                wide = np.maximum(bound[1], lo) - np.minimum(bound[0], hi)
+                out = out + (wide / span if span else 0.0)
+            else:
+                out = out + cells.nearest_level(j, own) / (len(own) - 1)
+        return (len(self.rows) + 1) * out
+
+
+class Cells:
+    """Points (rows or centers of clusters) in cells of points that lie close together, with the bounds of each cell.
+
+    The points' arrays belong to the caller, who reports each change by drop() or move(). After as many changes as there are
+    points, they are dealt to cells anew.
+    """
+
+    def __init__(self, numbers: list[np.ndarray | None], codes: list[np.ndarray | None], spans: list[float], points: np.ndarray, weights: np.ndarray | None = None):
+        """points: which entries of the arrays, in ascending order."""
+        self.numbers, self.points, self.spans, self.weights = numbers, codes, spans, weights
+        self.bounded = all(math.isfinite(x) for x in spans)
+        self._deal(points)
+
+    def _deal(self, points: np.ndarray) -> None:
+        odd = np.zeros(len(points), bool)  # distances to these are no numbers, which a scan takes for the best
+        for num, span in zip(self.numbers, self.spans, strict=True):
+            if num is not None and span:
+                odd |= ~np.isfinite(num[points])
+        size = max(64, math.isqrt(len(points)))
+        strange, plain = points[odd], points[~odd]
+        self.rows = [strange[i : i + size] for i in range(0, len(strange), size)]
+        self.odd = len(self.rows)
+        self.rows += self._cut(plain, size)
+        self.home = np.full(int(points.max(initial=-1)) + 1, -1)
+        n = len(self.rows)
+        self.first = np.zeros(n, np.int64)
+        self.lo = [None if x is None else np.zeros(n) for x in self.numbers]
+        self.hi = [None if x is None else np.zeros(n) for x in self.numbers]
+        self.codes = [None if c is None else np.zeros((n, c.shape[1]), np.int64) for c in self.points]
+        self.bits = [None if c is None else np.zeros(x.shape, np.int64) for c, x in zip(self.points, self.codes, strict=True)]
+        self.weight = np.ones(n)
+        self.dead = np.zeros(n, bool)
+        for c, rows in enumerate(self.rows):
+            self.home[rows] = c
+            self._measure(c)
+        self.left, self.changes = len(points), 0
+
+    def _cut(self, points: np.ndarray, size: int) -> list[np.ndarray]:
+        """Parts of at most `size` points, each cut in two along the attribute in which it is widest."""
+        out, todo = [], [points] if len(points) else []
+        while todo:
+            part = todo.pop()
+            if len(part) <= size:
+                out.append(np.sort(part))
+                continue
+            widest, by = 0.0, None
+            for num, code, span in zip(self.numbers, self.points, self.spans, strict=True):
+                if num is not None:
+                    x = num[part]
+                    wide = (x.max() - x.min()) / span if span else 0.0
+                else:
+                    mine = code[part]
+                    level = int(_lca((mine == mine[0]).all(0)[None, :])[0])
+                    wide, x = level / (code.shape[1] - 1), mine[:, max(level - 1, 0)]
+                if wide > widest:
+                    widest, by = wide, x
+            at = len(part) // 2
+            if by is not None:
+                order = np.argsort(by, kind="stable")
+                part = part[order]
+                if by.dtype.kind != "f":  # between two ancestors
+                    ends = np.flatnonzero(np.diff(by[order])) + 1
+                    at = int(ends[np.abs(ends - at).argmin()])
+            todo += [part[:at], part[at:]]
+        return out
+
+    def nearest_level(self, j: int, own: np.ndarray) -> np.ndarray:
+        """At most the level on which any point of each cell agrees with `own`; a cell has a bit for its codes modulo 64."""
+        return _lca((self.bits[j] >> (own & 63) & 1).astype(bool) & (own >= 0))
+
+    def _measure(self, c: int) -> None:
+        rows = self.rows[c]
+        self.dead[c] = not len(rows)
+        if not len(rows):
+            return
+        self.first[c] = rows[0]
+        if self.weights is not None:
+            self.weight[c] = self.weights[rows].min()
+        for j, (num, code) in enumerate(zip(self.numbers, self.points, strict=True)):
+            if num is not None:
+                x = num[rows]
+                self.lo[j][c], self.hi[j][c] = x.min(), x.max()
+            else:
+                mine = code[rows]
+                self.codes[j][c] = np.where((mine == mine[0]).all(0), mine[0], MIXED)
+                self.bits[j][c] = np.bitwise_or.reduce(np.where(mine < 0, 0, 1 << (mine & 63)), 0)
+
+    def _changed(self) -> bool:
+        """Whether the points were dealt anew."""
+        self.changes += 1
+        if anew := self.changes > self.left:
+            self._deal(np.sort(np.concatenate(self.rows)))
+        return anew
+
+    def drop(self, i: int) -> None:
+        c = self.home[i]
+        rows = self.rows[c]
+        self.rows[c] = rows = rows[rows != i]
+        self.left -= 1
+        if self._changed():
+            return
+        inner = len(rows) and self.weights is None and all(code is None or code[c].min() >= 0 for code in self.codes)
+        if inner and all(num is None or lo[c] < num[i] < hi[c] for num, lo, hi in zip(self.numbers, self.lo, self.hi, strict=True)):
+            self.first[c] = rows[0]
+        else:
+            self._measure(c)
+
+    def move(self, i: int) -> None:
+        """Point i has changed."""
+        if not self._changed():
+            self._measure(self.home[i])
+
+    def least(self, low: np.ndarray, exact: Callable[[np.ndarray], np.ndarray]) -> int:
+        """The point with the least exact value, the first of several; low: at most the value of any point of each cell.
+
+        No number counts as the least, as in argmin.
+        """
+        if self.odd or not self.bounded or np.isnan(low.min()):
+            low[np.isnan(low)] = -np.inf
+            low[: self.odd if self.bounded else None] = -np.inf
+        low[self.dead] = np.inf
+        least = low.min()
+        at = np.flatnonzero(low == least)
+        best, found, take = np.inf, len(self.home), 1
+        while True:
+            if len(at) > take:
+                at = at[[self.first[at].argmin()]] if take == 1 else at[np.argpartition(low[at], take - 1)[:take]]
+            rows = self.rows[at[0]] if len(at) == 1 else np.sort(np.concatenate([self.rows[c] for c in at]))
+            low[at] = np.inf
+            values = exact(rows)
+            i = int(values.argmin())
+            value, row = float(values[i]), int(rows[i])
+            value = -np.inf if math.isnan(value) else value
+            if value < best or (value == best and row < found):
+                best, found = value, row
+            if low.min() > best:
+                return found
+            at = np.flatnonzero((low < best) | ((low == best) & (self.first < found) & ~self.dead))
+            if not len(at):
+                return found
+            take *= 4
+
 
 def k_member(b: Block, k: int, seed: int | None) -> tuple[list[list[int]], float]:
     """Clusters (rows in the order they joined) and the total information loss.
@@ -96,21 +264,23 @@ def k_member(b: Block, k: int, seed: int | None) -> tuple[list[list[int]], float
     A random row starts, then always the row furthest from the last start; each cluster takes the rows that cost least
     until it has k. The rest joins the cluster whose total loss is then least. Ties go to the first row or cluster.
     """
-    left = np.arange(len(b))
+    cells = Cells(b.numbers, b.codes, b.spans, np.arange(len(b)))
     clusters: list[Cluster] = []
     last = None
-    while len(left) >= k:
-        at = random.Random(seed).randrange(len(left)) if last is None else int(b.distance(last, left).argmax())
-        last = int(left[at])
-        left = np.delete(left, at)
+    while cells.left >= k:
+        if last is None:
+            last = random.Random(seed).randrange(len(b))
+        else:
+            last = cells.least(-b.distance_to(last, cells), lambda rows, i=last: -b.distance(i, rows))
+        cells.drop(last)
         cluster = b.start(last)
         while len(cluster.rows) < k:
-            at = int(cluster.losses(b, left).argmin())
-            cluster.add(b, int(left[at]))
-            left = np.delete(left, at)
+            i = cells.least(cluster.losses_from(b, cells), lambda rows, c=cluster: c.losses(b, rows))
+            cluster.add(b, i)
+            cells.drop(i)
         clusters.append(cluster)
     losses = [c.loss(b) for c in clusters]
-    for i in left:
+    for i in np.sort(np.concatenate(cells.rows)) if cells.left else ():
         totals = [float(c.losses(b, np.array([i]))[0]) for c in clusters]
         best = int(np.argmin(totals))
         clusters[best].add(b, int(i))
@@ -201,7 +371,7 @@ KERNELS: dict[str, Callable] = {"k_member": k_member, "oka": oka}
 
 @dataclass(frozen=True)
 class Clusterer:
-    """k-Member or OKA over a spec. block_rows=None: exact, refused above EXACT_ROWS; else Mondrian blocks of that size."""
+    """k-Member or OKA over a spec. block_rows=None: exact; else Mondrian blocks of that size."""
 
     spec: AnonSpec
     k: int
@@ -241,7 +411,7 @@ class Clusterer:
         n = self.spec.df.count()
         if n < self.k:
             raise ValueError(f"{n} rows cannot form a group of {self.k}")
-        if not self.block_rows and n > EXACT_ROWS:
+        if self.method == "oka" and not self.block_rows and n > EXACT_ROWS:
             raise ValueError(f"{n} rows are too many for the exact form; give block_rows")
         rows, spans, heights = self._encoded()
         more = {"removal": self.removal} if self.method == "oka" else {}
