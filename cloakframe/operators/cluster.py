@@ -1,6 +1,6 @@
 """Greedy clusterers, k-Member and OKA: exact sequential kernels on one block of rows, or on many blocks in parallel.
 
-Each step of these algorithms depends on the one before, so the exact form is one Arrow task over all rows (OKA: at most EXACT_ROWS). The blocked
+Each step of these algorithms depends on the one before, so the exact form is one Arrow task over all rows. The blocked
 form cuts the table by Mondrian into blocks first and runs the kernel in each; its groups still have k rows, but are not
 those of the global algorithm.
 
@@ -27,7 +27,6 @@ from .generalize import Result
 from .mondrian import Mondrian
 from .recode import GROUP, RECODERS
 
-EXACT_ROWS = 20_000  # of OKA
 MIXED = -2  # in place of an ancestor's code: members of a cell differ
 
 
@@ -295,6 +294,7 @@ class _Centroids:
         self.b, self.members = b, [[i] for i in seeds]
         self.size = np.ones(len(seeds), np.int64)
         self.mean = [None if x is None else x[seeds].astype(float) for x in b.numbers]
+        self.sums = [([], []) if x is None else (x[seeds].astype(float).tolist(), [0.0] * len(seeds)) for x in b.numbers]
         self.shared = [None if c is None else c[seeds].copy() for c in b.codes]
 
     def distance(self, i: int, at: np.ndarray) -> np.ndarray:
@@ -306,23 +306,41 @@ class _Centroids:
                 out = out + _lca(own[at] == code[i][None, :]) / (code.shape[1] - 1)
         return out
 
-    def best(self, i: int, at: np.ndarray) -> int:
-        """The cluster of `at` nearest to row i, distance weighed by the cluster's size."""
-        return int(at[(self.size[at] * self.distance(i, at)).argmin()])
+    def cells(self, at: np.ndarray) -> Cells:
+        return Cells(self.mean, self.shared, self.b.spans, at, self.size)
+
+    def best(self, i: int, cells: Cells) -> int:
+        """The cluster of the cells nearest to row i, distance weighed by the cluster's size."""
+        out = np.zeros(len(cells.rows))
+        for j, (num, code, lo, hi, span) in enumerate(zip(self.b.numbers, self.b.codes, cells.lo, cells.hi, self.b.spans, strict=True)):
+            if num is not None:
+                out = out + (np.maximum(np.maximum(lo - num[i], num[i] - hi), 0.0) / span if span else 0.0)
+            else:
+                out = out + cells.nearest_level(j, code[i]) / (code.shape[1] - 1)
+        return cells.least(cells.weight * out, lambda at: self.size[at] * self.distance(i, at))
 
     def refresh(self, c: int) -> None:
         rows = self.members[c]
-        self.size[c] = len(rows)
-        for j, (num, code) in enumerate(zip(self.b.numbers, self.b.codes, strict=True)):
+        self.members[c], self.size[c] = [], 0
+        for num, (total, lost) in zip(self.b.numbers, self.sums, strict=True):
             if num is not None:
-                self.mean[j][c] = sum(num[rows].tolist()) / len(rows)
-            else:
-                same = (code[rows] == code[rows[0]]).all(0)
-                self.shared[j][c] = np.where(same, code[rows[0]], -1)
+                total[c] = lost[c] = 0.0
+        for i in rows:
+            self.add(c, i)
 
     def add(self, c: int, i: int) -> None:
         self.members[c].append(i)
-        self.refresh(c)
+        self.size[c] += 1
+        for j, (num, code) in enumerate(zip(self.b.numbers, self.b.codes, strict=True)):
+            if num is None:
+                self.shared[j][c] = np.where(self.shared[j][c] == code[i], code[i], -1) if self.size[c] > 1 else code[i]
+                continue
+            total, lost = self.sums[j]
+            x, before = float(num[i]), total[c]
+            total[c] = after = before + x
+            lost[c] += (before - after) + x if abs(before) >= abs(x) else (x - after) + before  # what rounding took, as in sum()
+            whole = after + lost[c] if math.isfinite(lost[c]) else after
+            self.mean[j][c] = whole / len(self.members[c])
 
 
 def oka(b: Block, k: int, seed: int | None, removal: str = "closest") -> tuple[list[list[int]], float]:
@@ -337,9 +355,12 @@ def oka(b: Block, k: int, seed: int | None, removal: str = "closest") -> tuple[l
     seeds = rng.sample(range(n), n // k)
     centers = _Centroids(b, seeds)
     every = np.arange(len(seeds))
+    cells = centers.cells(every)
     for i in sorted(set(range(n)) - set(seeds), reverse=True):
-        centers.add(centers.best(i, every), i)
-    small = [c for c in every if centers.size[c] < k]
+        c = centers.best(i, cells)
+        centers.add(c, i)
+        cells.move(c)
+    small = centers.cells(np.flatnonzero(centers.size < k))
     spare: list[int] = []
     for c in every:
         if centers.size[c] > k:
@@ -351,12 +372,18 @@ def oka(b: Block, k: int, seed: int | None, removal: str = "closest") -> tuple[l
             spare += [rows[j] for j in gone]
             centers.members[c] = [rows[j] for j in (order[over:] if removal == "closest" else order[:k])]
             centers.refresh(c)
+    cells = None
     while spare:
         i = spare.pop()
-        c = centers.best(i, np.array(small)) if small else centers.best(i, every)
+        if not small.left and cells is None:
+            cells = centers.cells(every)
+        near = small if small.left else cells
+        c = centers.best(i, near)
         centers.add(c, i)
-        if small and centers.size[c] >= k:
-            small.remove(c)
+        if near is small and centers.size[c] >= k:
+            small.drop(c)
+        else:
+            near.move(c)
     total = 0.0
     for rows in centers.members:
         cluster = b.start(rows[0])
@@ -411,8 +438,6 @@ class Clusterer:
         n = self.spec.df.count()
         if n < self.k:
             raise ValueError(f"{n} rows cannot form a group of {self.k}")
-        if self.method == "oka" and not self.block_rows and n > EXACT_ROWS:
-            raise ValueError(f"{n} rows are too many for the exact form; give block_rows")
         rows, spans, heights = self._encoded()
         more = {"removal": self.removal} if self.method == "oka" else {}
         kernel, k, seed, flags = KERNELS[self.method], self.k, self.seed, [self.spec.categorical[c] for c in self.spec.qids]

@@ -8,7 +8,7 @@ from cloakframe.operators import cluster
 from cloakframe.operators.cluster import Block, Clusterer
 from cloakframe.spec import AnonSpec
 
-METHODS = ["k_member"]
+METHODS = ["k_member", "oka"]
 
 
 def scan(self, low, exact):
