@@ -17,8 +17,11 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .operators.sampling import train_test_split
+from .plans.tables import materialize
 from .spec import q
 
+CELLS = 500_000  # numbers of a partition in passes over training rows
+
 
 @dataclass
 class Neighbours:
@@ -74,6 +77,13 @@ def classifier(name: str, seed: int | None = None):
     raise ValueError(f"no such classifier: {name}")
 
 
+def _gathered(train: DataFrame, width: int) -> DataFrame:
+    """train in as few partitions as its size asks for, persisted: each of a line search's many passes is a job, whose tasks cost more than the sums."""
+    train = materialize(train, "train")
+    parts = max(1, -(-train.count() * width // CELLS))
+    return train.repartition(parts, "key").sortWithinPartitions("key").persist()
+
+
 def confusion(predicted: DataFrame) -> DataFrame:
     """label, prediction, count."""
     return predicted.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("count"))
@@ -141,7 +151,11 @@ class Evaluation:
             out = model.predict(view(train), view(test))
         else:
             labels: StringIndexerModel = StringIndexer(inputCol="target", outputCol="label", handleInvalid="error", stringOrderType="alphabetAsc").fit(train)
-            fitted = model.fit(labels.transform(prepared.transform(train)))
+            ready = labels.transform(prepared.transform(train)).select("key", "features", "label")
+            if isinstance(model, OneVsRest):
+                ready = _gathered(ready, len(self.features))
+            fitted = model.fit(ready)
+            ready.unpersist()
             names = F.array(*[F.lit(x) for x in labels.labels])
             out = fitted.transform(labels.transform(prepared.transform(test))).select("key", F.get(names, F.col("label").cast("int")).alias("label"), F.get(names, F.col("prediction").cast("int")).alias("prediction"))
         self._done = out.persist()
