@@ -1,7 +1,7 @@
 """Byte-pair encoding and decoding, exactly as a tokenizer file defines it.
 
 A text is cut into blank-separated chunks, which its pre-tokenizer treats independently, so each distinct chunk is
-resolved once a batch. Words come from a minimal acyclic transducer: an automaton with shared suffixes over the corpus's
+resolved once, and found again in a table that arrays of chunks are looked up in. Words come from a minimal acyclic transducer: an automaton with shared suffixes over the corpus's
 frequent words, whose arc outputs add up to a word's number and so to its ids; it is laid out flat and memory-mapped.
 Words that it lacks are merged exactly, all words of a batch at a time. Texts with characters beyond Latin letters are
 cut by the tokenizer library's own pre-tokenizer, and then encoded here like the others.
@@ -31,6 +31,8 @@ from .common import bound_batches, discard, load, materialize, scratch
 LEXICON, LONGEST = 65_536, 48
 #: Chunks remembered at a time by a task, documents encoded together, and chunks counted before they are sent on.
 MEMO, TOGETHER, COUNTED = 250_000, 128, 200_000
+#: Slots of a task's table of chunks, as a power of two (half of them are used), and chunks looked up together.
+TABLE, WINDOW = 20, 1 << 17
 #: Words of up to so many symbols are merged together in arrays; longer ones by a heap.
 WIDE = 48
 NONE = np.int64(1 << 60)
@@ -40,6 +42,8 @@ DOUBLE = re.compile(r"\s\s")
 # The pre-tokenizers' patterns, for those characters; NUL stands between chunks that are cut together.
 BYTE_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_²³¹¼½¾]+| ?[0-9²³¹¼½¾]+| ?(?:[^\s\w\0]|_)+|\s+(?!\S)|\s+|\0")
 LOWER_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:[^\s\w\0]|_)+|\0")
+#: Marks that are a word of their own at the end of letters.
+MARKS = frozenset('!"#$%&()*+,-./:;<=>?@[\\]^`{|}~')
 
 
 def byte_letters() -> list[str]:
@@ -289,12 +293,89 @@ class Lexicon:
         return self.ids[self.offsets[number] : self.offsets[number + 1]].astype("<u4").tobytes()
 
 
+class Chunks:
+    """Ids of chunks by their bytes, in an open hash table that arrays are looked up in; exact, as keys are whole chunks."""
+
+    LONGEST = 23  # bytes of a key, besides one for its length and kind; longer chunks are numbered in a dictionary
+    MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = np.zeros((1 << TABLE, 4), np.uint64)  # key, and the chunk's number, from 1 on
+        self.long: dict[str, int] = {}
+        self.probes, self.n, self.held = 1, 1, 0
+        self.at, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
+
+    def full(self, more: int) -> bool:
+        return self.n + more > 1 << TABLE - 1
+
+    @classmethod
+    def keys(cls, text: np.ndarray, begin: np.ndarray, size: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Keys of the chunks at `begin`; at least 24 bytes of `text` follow the last one."""
+        words = np.lib.stride_tricks.as_strided(text[:8].view(np.uint64), (len(text) - 7,), (1,)).copy()
+        key = np.empty((len(begin), 3), np.uint64)
+        for i in range(3):
+            key[:, i] = words[begin + 8 * i] & cls.MASK[np.clip(size - 8 * i, 0, 8 - (i == 2))]
+        key[:, 2] |= (size | kind << 5).astype(np.uint64) << np.uint64(56)
+        return key
+
+    def _first(self, key: np.ndarray) -> np.ndarray:
+        mixed = key[:, 0] * self.MIX[0] ^ key[:, 1] * self.MIX[1] ^ key[:, 2] * self.MIX[2]
+        return (((mixed ^ mixed >> np.uint64(32)) * self.MIX[3]) >> np.uint64(64 - TABLE)).astype(np.int64)
+
+    def look(self, key: np.ndarray) -> np.ndarray:
+        """The number of each chunk, or 0."""
+        slot, number, left = self._first(key), np.zeros(len(key), np.int64), np.arange(len(key))
+        for _ in range(self.probes):
+            row = self.slots[slot]
+            same = (row[:, 0] == key[:, 0]) & (row[:, 1] == key[:, 1]) & (row[:, 2] == key[:, 2])
+            number[left[same]] = row[same, 3]
+            on = ~same & (row[:, 3] > 0)
+            if not on.any():
+                break
+            left, key, slot = left[on], key[on], slot[on] + 1 & (1 << TABLE) - 1
+        return number
+
+    def number(self, ids: list[bytes]) -> np.ndarray:
+        """Keeps the ids of new chunks; their numbers."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        total, new = int(size.sum()), np.arange(self.n, self.n + len(ids))
+        for name, need in (("at", self.n + len(ids)), ("size", self.n + len(ids)), ("ids", self.held + total)):
+            if need > len(old := getattr(self, name)):
+                setattr(self, name, np.concatenate((old, np.zeros(need + len(old) // 2, old.dtype))))
+        self.size[new], self.at[new] = size, self.held + np.cumsum(size) - size
+        self.ids[self.held : self.held + total] = np.frombuffer(b"".join(ids), "<u4")
+        self.n, self.held = self.n + len(ids), self.held + total
+        return new
+
+    def insert(self, key: np.ndarray, number: np.ndarray) -> None:
+        """Puts distinct chunks that the table lacks into it."""
+        slot, probes = self._first(key), 1
+        while len(slot):
+            free = np.flatnonzero(self.slots[slot, 3] == 0)
+            first = free[np.unique(slot[free], return_index=True)[1]]
+            self.slots[slot[first], :3], self.slots[slot[first], 3] = key[first], number[first]
+            stay = np.ones(len(slot), bool)
+            stay[first] = False
+            self.probes, probes = max(self.probes, probes), probes + 1
+            slot, key, number = slot[stay] + 1 & (1 << TABLE) - 1, key[stay], number[stay]
+
+    def ids_of(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks one after another, and how many each has."""
+        size = self.size[number]
+        return self.ids[np.repeat(self.at[number] - np.cumsum(size) + size, size) + np.arange(size.sum())], size
+
+
 class Encoder:
     """Encodes texts to little-endian 32-bit ids; made once a task."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: str | None = None):
         self.v, self.lexicon = vocabulary, Lexicon(lexicon) if lexicon else None
         self.memo: dict[str, bytes] = {}
+        self.table = Chunks()
         self.words: dict[str, bytes] = {}
         self.marks = re.compile("|".join(map(re.escape, sorted(vocabulary.added, key=len, reverse=True))) or r"(?!)")
         self.library = None
@@ -337,7 +418,39 @@ class Encoder:
         return [x for p in parts for x in p]
 
     def cut(self, chunks: list[str]) -> list[list[str]]:
-        """The words of each chunk, as the pre-tokenizer cuts them; added tokens have none."""
+        """The words of each chunk, as the pre-tokenizer cuts them; added tokens have none.
+
+        Letters alone are one word, and letters with one mark after them are two; only other chunks need the pattern.
+        """
+        out: list[list[str]] = []
+        odd: list[int] = []
+        if self.v.lower:
+            for c in map(str.lower, chunks):
+                if c.isalpha():
+                    out.append([c])
+                elif c[-1:] in MARKS and (w := c[:-1]).isalpha():
+                    out.append([w, c[-1]])
+                else:
+                    odd.append(len(out))
+                    out.append([])
+        else:
+            for c in chunks:
+                if c.isalpha():
+                    out.append([" " + c])
+                elif c[-1:] in MARKS and (w := c[:-1]).isalpha():
+                    out.append([" " + w, c[-1]])
+                elif c[:2] == "^\n" and (w := c[2:]).isalpha():
+                    out.append(["\n", w])
+                else:
+                    odd.append(len(out))
+                    out.append([])
+        if odd:
+            for i, parts in zip(odd, self._cut_by_pattern([chunks[i] for i in odd]), strict=True):
+                out[i] = parts
+        return out
+
+    def _cut_by_pattern(self, chunks: list[str]) -> list[list[str]]:
+        """cut() for chunks of any form."""
         if self.v.lower:
             tokens = LOWER_WORDS.findall("\0".join(chunks).lower())
         else:
@@ -364,40 +477,106 @@ class Encoder:
             words, raw = [w for w, k in zip(words, numbers, strict=True) if k < 0], [w for w, k in zip(raw, numbers, strict=True) if k < 0]
         return known | dict(zip(words, self.v.encode(raw), strict=True)) if words else known
 
-    def resolve(self, chunks: list[str]) -> None:
-        """Fills the memo for new chunks."""
+    def resolve(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of chunks."""
         if self.v.lower:
-            odd = [c for c in chunks if "<|" in c or EXOTIC.search(c)]
-            for c, e in zip(odd, self._library().encode_batch(odd, add_special_tokens=False) if odd else (), strict=True):
-                self.memo[c] = np.array(e.ids, "<u4").tobytes()
-            chunks = [c for c in chunks if c not in self.memo] if odd else chunks
+            every = " ".join(chunks)
+            odd = [c for c in chunks if "<|" in c or EXOTIC.search(c)] if "<|" in every or EXOTIC.search(every) else []
+            got = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(odd, self._library().encode_batch(odd, add_special_tokens=False) if odd else (), strict=True)}
         else:
             odd = [c for c in chunks if c[:1] == "!" and c[1:] in self.v.added]
-            self.memo.update((c, np.array([self.v.added[c[1:]]], "<u4").tobytes()) for c in odd)
-            chunks = [c for c in chunks if c not in self.memo] if odd else chunks
+            got = {c: np.array([self.v.added[c[1:]]], "<u4").tobytes() for c in odd}
+        chunks = [c for c in chunks if c not in got] if odd else chunks
         if not chunks:
-            return
+            return got
         parts = self.cut(chunks)
-        every = set().union(*parts)
         if len(self.words) > MEMO:
             self.words.clear()
-        if new := [w for w in every if w not in self.words]:
-            self.words.update(self.ids_of(new))
+        if new := set().union(*parts).difference(self.words):
+            self.words.update(self.ids_of(list(new)))
         get = self.words.__getitem__
-        self.memo.update((c, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for c, p in zip(chunks, parts, strict=True))
+        ids = [get(p[0]) if len(p) == 1 else get(p[0]) + get(p[1]) if len(p) == 2 else b"".join(map(get, p)) for p in parts]
+        got.update(zip(chunks, ids, strict=True))
+        return got
+
+    def _plain(self, text: str) -> bool:
+        """The text's chunks are what stands between its blanks and line ends."""
+        return self.v.lower or not ("<|" in text or EXOTIC.search(text) or DOUBLE.search(text))
+
+    def _forms(self, raw: list[bytes], kind: list[int]) -> list[str]:
+        """The forms of chunks() for what follows a blank (0), a line end (1; 0 if they are alike) or nothing (2)."""
+        if not raw or self.v.lower:
+            return b"\n".join(raw).decode().split("\n") if raw else []
+        start = ("", "^\n", "^")
+        return [start[k] + x if k or x[:1] not in ("^", "=", "!") else "^ " + x for x, k in zip(b"\n".join(raw).decode().split("\n"), kind, strict=True)]
+
+    def _numbers(self, raw: bytes, text: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The numbers of chunks in the table, which new ones are resolved for and put into."""
+        table, size = self.table, end - begin
+        is_long = size > table.LONGEST
+        short, long = np.flatnonzero(~is_long), np.flatnonzero(is_long)
+        origin = int(begin[0])
+        key = table.keys(text[origin : int(end[-1]) + 32], begin[short] - origin, size[short], kind[short])
+        number = np.zeros(len(begin), np.int64)
+        number[short] = table.look(key)
+        miss = np.flatnonzero(number[short] == 0)
+        where = np.concatenate((short[miss], long))
+        if not len(where):
+            return number
+        forms = self._forms([raw[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)], kind[where].tolist())
+        far = forms[len(miss) :]
+        new = dict(zip(forms, miss.tolist(), strict=False))
+        late = dict.fromkeys(c for c in far if c not in table.long)
+        if table.full(len(new) + len(late)) and table.n > 1:
+            table.clear()
+            return self._numbers(raw, text, begin, end, kind)
+        got = self.resolve([*new, *late])
+        made = table.number([got[c] for c in (*new, *late)])
+        table.insert(key[list(new.values())], made[: len(new)])
+        table.long.update(zip(late, made[len(new) :].tolist(), strict=True))
+        given = dict(zip(new, made.tolist(), strict=False))
+        number[where] = [*map(given.__getitem__, forms[: len(miss)]), *map(table.long.__getitem__, far)]
+        return number
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        raws = [t.encode() for t in texts]
+        raw = b"\n" + b"\n".join(raws) + b"\n" + bytes(32)
+        text = np.frombuffer(raw, np.uint8)
+        marks = np.flatnonzero((text == 32) | (text == 10))
+        first = np.searchsorted(marks, np.cumsum([0, *(len(r) + 1 for r in raws)]))  # chunk that each text begins with
+        kind = np.zeros(len(marks), np.int64)
+        if not self.v.lower:
+            kind[text[marks] == 10] = 1
+            kind[first] = 2
+        ids, sizes = [], []
+        for i in range(0, len(marks) - 1, WINDOW):
+            to = min(i + WINDOW, len(marks) - 1)
+            got, size = self.table.ids_of(self._numbers(raw, text, marks[i:to] + 1, marks[i + 1 : to + 1], kind[i:to]))
+            ids.append(got)
+            sizes.append(size)
+        whole = np.concatenate(ids).astype("<u4").tobytes()
+        to = (4 * np.concatenate(([0], np.cumsum(np.concatenate(sizes)))))[first].tolist()
+        return [whole[a:b] for a, b in zip(to, to[1:], strict=False)]
+
+    def _encode_others(self, texts: list[str]) -> list[bytes]:
+        cut = [self.chunks(t) for t in texts]
+        need = set().union(*cut)
+        new = need.difference(self.memo)
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = need
+        self.memo.update(self.resolve(list(new)))
+        get = self.memo.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), TOGETHER):
-            cut = [self.chunks(t) for t in texts[i : i + TOGETHER]]
-            need = set().union(*cut)
-            new = need.difference(self.memo)
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = need
-            self.resolve(list(new))
-            get = self.memo.__getitem__
-            out += [b"".join(map(get, c)) for c in cut]
+            part = texts[i : i + TOGETHER]
+            plain = [self._plain(t) for t in part]
+            fast = iter(self._encode_plain([t for t, p in zip(part, plain, strict=True) if p]) if any(plain) else ())
+            slow = iter(self._encode_others([t for t, p in zip(part, plain, strict=True) if not p]) if not all(plain) else ())
+            out += [next(fast if p else slow) for p in plain]
         return out
 
     def decode(self, ids: bytes) -> str:

@@ -123,6 +123,35 @@ def test_encoder_is_exact(tokenizer, tmp_path):
             assert encoder.decode(got) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("slots", [6, 20])
+def test_table_of_chunks_is_exact(tokenizer, monkeypatch, slots):
+    """Full and crowded tables, windows that end within texts, chunks that share a key's bytes, length or start."""
+    vocabulary, library = tokenizer
+    if slots < 20:
+        monkeypatch.setattr(bpe, "TABLE", slots)
+        monkeypatch.setattr(bpe, "WINDOW", 1 << slots - 1)
+    rnd = random.Random(4)
+    made = [rnd.choice(["", "\n", " ", ",", "^", "=a", "!x", "a\0", "a", "é" * 11 + "x", "é" * 12, "İ", "it's", "x_", "'", "Ab," * 7 + "zz", "Ab," * 8]) + rnd.choice([" ", "\n", " ", "  "[: rnd.randint(1, 2)]]) for _ in range(4000)]
+    rows = ["".join(made[i : i + rnd.randint(0, 60)]).strip("  "[: rnd.randint(0, 1)]) for i in range(0, 4000, 20)]
+    rows += [" ".join(f"{chr(97 + i % 26)}{i}," for i in range(k, k + 90)) for k in range(0, 900, 30)]
+    encoder = bpe.Encoder(vocabulary)
+    for _ in range(2):
+        for t, got in zip(rows, encoder.encode(rows), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_chunks_are_resolved_once(tokenizer, monkeypatch):
+    """Chunks in greater number than a dictionary remembers at a time, met again in a later batch."""
+    monkeypatch.setattr(bpe, "MEMO", 1000)
+    encoder, resolved = bpe.Encoder(tokenizer[0]), []
+    cut = encoder.cut
+    encoder.cut = lambda chunks: resolved.extend(chunks) or cut(chunks)
+    rows = [" ".join(f"w{i}," for i in range(k, k + 10)) for k in range(0, 5000, 5)]
+    encoder.encode(rows)
+    encoder.encode(rows)
+    assert len(resolved) == len(set(resolved)) <= 5005 + 1000
+
+
 def test_transducer_is_minimal_and_exact(tmp_path):
     words = [b"", b"tap", b"taps", b"top", b"tops", b"stop", b"stops", bytes(range(1, 40))]
     words = [w for w in words if w]
