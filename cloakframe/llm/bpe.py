@@ -591,10 +591,11 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def sent(encoder: Encoder, seen: Counter) -> pa.RecordBatch:
-        words: Counter = Counter()
+        words: dict[str, int] = {}
+        get = words.get
         for parts, n in zip(encoder.cut(list(seen)), seen.values(), strict=True):
             for w in parts:
-                words[w] += n
+                words[w] = get(w, 0) + n
         return pa.RecordBatch.from_arrays([pa.array([w.encode() for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
