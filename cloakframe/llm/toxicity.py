@@ -38,6 +38,8 @@ PREFIXES = (4, 5)
 WORD = re.compile(r"[^\W\d_]+")
 #: Distinct words remembered at a time.
 MEMO = 300_000
+#: Entries (a term of a document) that are summed at a time.
+BLOCK = 1 << 20
 
 
 def cells_of(word: str) -> tuple[int, ...]:
@@ -69,47 +71,71 @@ class Machine:
         return out
 
 
+def _sums(at: np.ndarray, n: int, x: np.ndarray | None = None, of: np.ndarray | None = None) -> np.ndarray:
+    """For each of n places the sum of x[of] (without x: of ones) over the entries at it."""
+    out = np.zeros(n)
+    for i in range(0, len(at), BLOCK):
+        b = slice(i, i + BLOCK)
+        out += np.bincount(at[b], None if x is None else x[of[b]], n)
+    return out
+
+
 def _alone(flat: np.ndarray, doc: np.ndarray, y: np.ndarray, terms: int) -> np.ndarray:
     """Standard deviations by which the labels of each term's documents differ from chance."""
-    df, off = np.bincount(flat, minlength=terms), np.bincount(flat, weights=(y - y.mean())[doc], minlength=terms)
+    df, off = _sums(flat, terms), _sums(flat, terms, y - y.mean(), doc)
     return np.abs(off) / np.sqrt(np.maximum(df, 1) * max(y.mean() * (1 - y.mean()), 1e-9))
 
 
 def _in_company(flat: np.ndarray, doc: np.ndarray, missed: np.ndarray, spread: np.ndarray, terms: int) -> np.ndarray:
     """The same for each term together with the others of its documents; missed: label less probability, spread: its variance."""
     n = len(missed)
-    sums = lambda x: np.bincount(flat, weights=x[doc], minlength=terms)
-    size = np.sqrt(np.minimum(1, np.bincount(flat, minlength=terms) / n / COMMON))
+    sums = lambda x: _sums(flat, terms, x, doc)
+    size = np.sqrt(np.minimum(1, _sums(flat, terms) / n / COMMON))
     rng, told, single = np.random.default_rng(SEED), np.zeros(terms), sums(missed)
     for _ in range(SKETCH):
         part = size * rng.normal(size=terms)
-        near = np.bincount(doc, weights=part[flat], minlength=n)
+        near = _sums(doc, n, part, flat)
         told += (sums(missed * near) - part * single) ** 2 / np.maximum(sums(spread * near**2), 1e-12)
     return (told - SKETCH) / np.sqrt(2 * SKETCH)
 
 
 def train(cells: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> Machine:
     """Fits the machine over those of the sorted hashed terms `cells` that tell; rows: those that each document has."""
-    count = np.array([len(r) for r in rows], np.int64)
-    flat = np.searchsorted(cells, np.concatenate([*rows, cells[:0]]))
-    doc = np.repeat(np.arange(len(rows)), count)
+    flat = np.concatenate([*(np.searchsorted(cells, r).astype(np.int32) for r in rows), np.zeros(0, np.int32)])
+    return _train(cells, flat, np.array([len(r) for r in rows], np.int64), y)
+
+
+def _train(cells: np.ndarray, flat: np.ndarray, count: np.ndarray, y: np.ndarray) -> Machine:
+    """The same; flat: places in `cells` of the documents' terms, count: terms of each document. Numbers of four bytes, of
+    which there is one for every term of every document, are kept; wider ones are made for a block at a time."""
+    doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
     if not len(cells) or not 0 < y.sum() < len(y):
         return _fit(cells, flat, doc, y, np.zeros(len(cells), bool))
     chosen = _alone(flat, doc, y, len(cells)) >= EVIDENCE
     first = _fit(cells, flat, doc, y, chosen)
-    held = chosen[flat]
-    z = first.score((np.cumsum(chosen) - 1)[flat[held]], np.searchsorted(doc[held], np.arange(len(y))), np.bincount(doc[held], minlength=len(y)))
-    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    p = 1 / (1 + np.exp(-np.clip(_log_odds(first, *_only(flat, doc, len(y), chosen)), -30, 30)))
     more = _in_company(flat, doc, y - p, p * (1 - p) + 0.01, len(cells)) >= EVIDENCE
     return _fit(cells, flat, doc, y, chosen | more) if (more & ~chosen).any() else first
 
 
+def _only(flat: np.ndarray, doc: np.ndarray, n: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places among the chosen terms of the documents' chosen terms, and how many each of n documents has."""
+    held = chosen[flat]
+    return (np.cumsum(chosen) - 1).astype(np.int32)[flat[held]], _sums(doc[held], n).astype(np.int64)
+
+
+def _log_odds(m: Machine, flat: np.ndarray, count: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(count)
+    parts = [slice(i, i + BATCH) for i in range(0, len(count), BATCH)]
+    return np.concatenate([m.score(flat[ends[b][0] - count[b][0] : ends[b][-1]], np.cumsum(count[b]) - count[b], count[b]) for b in parts])
+
+
 def _fit(cells: np.ndarray, flat: np.ndarray, doc: np.ndarray, y: np.ndarray, chosen: np.ndarray) -> Machine:
     """AdaGrad over the chosen terms; flat, doc: term and document of every entry, by document."""
     n, pos = len(y), float(y.sum())
     prior = (pos + 0.5) / (n + 1.0)
-    bias, held = float(np.log(prior / (1 - prior))), chosen[flat]
-    flat, count, cells = (np.cumsum(chosen) - 1)[flat[held]], np.bincount(doc[held], minlength=n), cells[chosen]
+    bias, cells = float(np.log(prior / (1 - prior))), cells[chosen]
+    flat, count = _only(flat, doc, n, chosen)
     rng = np.random.default_rng(SEED)
     m = Machine(cells, bias, np.zeros(len(cells), np.float32), rng.normal(0, 0.05, (len(cells), FACTORS)).astype(np.float32))
     if not len(cells):
@@ -144,9 +170,11 @@ def _fit(cells: np.ndarray, flat: np.ndarray, doc: np.ndarray, y: np.ndarray, ch
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine:
     """Fits on labelled documents whose bucket of 5 is not 0; of several labels for an id the largest counts.
 
-    The driver holds the terms of about SAMPLE documents and the machine over those of SUPPORT documents or more. Null
-    labels and null ids teach nothing, null texts have no terms, documents of equal terms and label count once.
+    One task holds the terms of about SAMPLE documents and fits the machine over those of SUPPORT documents or more; the
+    driver gets the machine alone. Null labels and null ids teach nothing, null texts have no terms, documents of equal
+    terms and label count once.
     """
+    bound_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y")).filter(bucket(F.col("id"), 5) != 0)
     share = min(1.0, SAMPLE / max(1, known.count()))
     drawn = known.filter(F.pmod(F.xxhash64(F.lit("toxicity sample"), "id"), F.lit(1_000_000)) / 1e6 < share)  # about SAMPLE rows: small enough to broadcast
@@ -158,16 +186,30 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], names=["y", "terms"])
 
     listed = materialize(rows.mapInArrow(terms, "y int, terms array<int>").distinct(), "terms")  # copies teach once
-    enough = listed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= SUPPORT).select("term")
-    cells = np.sort(enough.toArrow()["term"].to_numpy()).astype(np.int64)
-    table = listed.select(F.xxhash64("terms", "y").alias("h"), "y", "terms").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])  # the same machine however rows are dealt
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, parts, hs, ys = np.zeros(CELLS, np.int64), [], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for batch in batches:
+            h, y, lists = batch.columns
+            flat = lists.flatten().to_numpy()
+            df += np.bincount(flat, minlength=CELLS)
+            parts += np.split(flat, np.cumsum(np.diff(lists.offsets.to_numpy()))[:-1]) if len(lists) else []
+            hs.append(h.to_numpy())
+            ys.append(y.to_numpy().astype(float))
+        h, y, known = np.concatenate(hs), np.concatenate(ys), df >= SUPPORT
+        order, place = np.lexsort((y, h)), (np.cumsum(known) - 1).astype(np.int32)  # the same machine however rows are dealt
+        rows = [place[parts[i][known[parts[i]]]] for i in order]
+        flat, count = np.concatenate([*rows, place[:0]]), np.array([len(r) for r in rows], np.int64)
+        del parts, rows
+        m = _train(np.flatnonzero(known), flat, count, y[order])
+        floats = pa.list_(pa.float32())
+        yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([m.cells.astype(np.int32)], pa.list_(pa.int32())), pa.array([m.w], floats), pa.array([m.v.ravel()], floats)], names=["bias", "cells", "w", "v"])
+
+    hashed = listed.select(F.xxhash64("terms", "y").alias("h"), "y", "terms")
+    got = hashed.coalesce(1).mapInArrow(learn, "bias double, cells array<int>, w array<float>, v array<float>").toArrow()
     discard(listed)
-    y, lists = table["y"].to_numpy().astype(float), table["terms"].combine_chunks()
-    flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-    held = np.isin(flat, cells)
-    ends = np.cumsum(size)
-    kept = np.concatenate(([0], np.cumsum(held)))[np.concatenate(([0], ends))]
-    return train(cells, np.split(flat[held].astype(np.int64), kept[1:-1]) if len(y) else [], y)
+    cells, w, v = (got[x].combine_chunks().flatten().to_numpy() for x in ("cells", "w", "v"))
+    return Machine(cells.astype(np.int64), got["bias"][0].as_py(), w, v.reshape(-1, FACTORS))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", to: str = "score") -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -332,3 +333,27 @@ def test_places_of_very_many_terms_in_a_text(spark):
             general = known[m[0].lower()]
             want.append(("generalised" if general else "removed", m.start(), m.end(), general or ""))
     assert list(map(tuple, got[0])) == want and got[1] == [] and got[2] is None
+
+
+def test_toxicity_is_fitted_away_from_the_driver(spark):
+    """The driver gets the machine alone, not the terms of the documents that it is fitted on."""
+    rnd = random.Random(3)
+    words = ["".join(x) for x in itertools.product("abcdefghijkl", repeat=4)]
+    rows = [(i, " ".join([*rnd.sample(words, 1000), *["idiot"] * (i % 3 == 0)])) for i in range(1000)]
+    docs, labels = brute.frame(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    tracemalloc.start()
+    m = toxicity.fit(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(m.cells) and m.w.shape == m.cells.shape and peak < 4e6  # the terms of 800 documents alone, four bytes each: 6.4e6
+
+
+def test_machine_does_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 300, rng.integers(0, 40))) * 7 for _ in range(600)]
+    y = np.array([float(21 in r or (35 in r) == (70 in r)) for r in rows])
+    made = []
+    for block in (1 << 20, 13):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        made.append(toxicity.train(np.arange(300) * 7, rows, y))
+    assert len(made[0].cells) and np.array_equal(made[0].cells, made[1].cells) and np.array_equal(made[0].v, made[1].v)
