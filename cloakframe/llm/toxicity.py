@@ -198,9 +198,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             ys.append(y.to_numpy().astype(float))
         h, y, known = np.concatenate(hs), np.concatenate(ys), df >= SUPPORT
         order, place = np.lexsort((y, h)), (np.cumsum(known) - 1).astype(np.int32)  # the same machine however rows are dealt
-        rows = [place[parts[i][known[parts[i]]]] for i in order]
-        flat, count = np.concatenate([*rows, place[:0]]), np.array([len(r) for r in rows], np.int64)
-        del parts, rows
+        flat, count, at = np.empty(df[known].sum(), np.int32), np.zeros(len(y), np.int64), 0
+        for k, i in enumerate(order):
+            row = place[parts[i][known[parts[i]]]]
+            flat[at : at + len(row)], count[k], at = row, len(row), at + len(row)
+        parts.clear()
         m = _train(np.flatnonzero(known), flat, count, y[order])
         floats = pa.list_(pa.float32())
         yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([m.cells.astype(np.int32)], pa.list_(pa.int32())), pa.array([m.w], floats), pa.array([m.v.ravel()], floats)], names=["bias", "cells", "w", "v"])
